@@ -20,45 +20,56 @@ def tempo_gap(a: Column, b: Column) -> Column:
     )
 
 
-def tempo_score(a: Column, b: Column) -> Column:
-    d = tempo_gap(a, b)
-    known = steps(d, [
+def tempo_from_gap(d: Column) -> Column:
+    return steps(d, [
         ("<=", 0.02, 1.0),
         ("<=", 0.05, 0.9),
         ("<=", 0.08, 0.9 - (d - 0.05) * (0.4 / 0.03)),
         ("<=", 0.15, 0.5 - (d - 0.08) * (0.4 / 0.07)),
     ], F.greatest(F.lit(0.05), 0.1 - (d - 0.15) * 0.5))
-    return F.when((a <= 0) | (b <= 0), 0.5).otherwise(known)
+
+
+def tempo_score(a: Column, b: Column) -> Column:
+    return F.when((a <= 0) | (b <= 0), 0.5).otherwise(tempo_from_gap(tempo_gap(a, b)))
 
 
 def wheel_hour(code: Column) -> Column:
     """Number part of a wheel code; 0 when the code is too short or malformed."""
-    digits = F.regexp_extract(code, r"^(\d+).$", 1)
-    return F.when(digits == "", 0).otherwise(digits.cast("int"))
+    return F.coalesce(F.substring(code, F.lit(1), F.length(code) - 1).try_cast("int"), F.lit(0))
 
 
 def wheel_mode(code: Column) -> Column:
     return F.when(F.length(code) >= 2, F.substring(code, -1, 1)).otherwise("")
 
 
+def _hour_distance(i: int, j: int) -> int:
+    """Wheel distance of two of the 24 positions (two modes per hour)."""
+    gap = abs(i // 2 - j // 2)
+    hour, same = min(gap, 12 - gap), i % 2 == j % 2
+    near = {0: (0, 1), 1: (1, 2), 2: (3, 3), 3: (4, 4)}
+    return near[hour][0 if same else 1] if hour in near else min(hour, 6)
+
+
+_DISTANCES = [_hour_distance(i, j) for i in range(24) for j in range(24)]
+
+
+def wheel_index(code: Column) -> Column:
+    """Position 0..23 on the wheel, null for anything that is not a wheel code."""
+    h, m = wheel_hour(code), wheel_mode(code)
+    return F.when(h.between(1, 12) & m.isin("A", "B"), (h - 1) * 2 + F.when(m == "B", 1).otherwise(0))
+
+
 def wheel_distance(c1: Column, c2: Column) -> Column:
-    h1, h2 = wheel_hour(c1), wheel_hour(c2)
-    same = wheel_mode(c1) == wheel_mode(c2)
-    gap = F.abs(h1 - h2)
-    hour = F.least(gap, 12 - gap)
-    return (
-        F.when((h1 == 0) | (h2 == 0), 6)
-        .when(hour == 0, F.when(same, 0).otherwise(1))
-        .when(hour == 1, F.when(same, 1).otherwise(2))
-        .when(hour == 2, 3)
-        .when(hour == 3, 4)
-        .otherwise(F.least(hour, F.lit(6)))
-    )
+    """Distance 0..6 by one lookup in a constant 24 x 24 table; unknown codes are 6 apart."""
+    cell = wheel_index(c1) * 24 + wheel_index(c2) + 1
+    return F.coalesce(F.element_at(F.array(*[F.lit(d) for d in _DISTANCES]), cell), F.lit(6))
 
 
 def key_score(c1: Column, c2: Column) -> Column:
     blank = (F.coalesce(c1, F.lit("")) == "") | (F.coalesce(c2, F.lit("")) == "")
-    return F.when(blank, 0.5).otherwise(lookup(wheel_distance(c1, c2), KEY_DISTANCE_SCORES, 0.05))
+    cell = wheel_index(c1) * 24 + wheel_index(c2) + 1
+    scores = F.array(*[F.lit(KEY_DISTANCE_SCORES[d]) for d in _DISTANCES])
+    return F.when(blank, 0.5).otherwise(F.coalesce(F.element_at(scores, cell), F.lit(0.05)))
 
 
 def energy_score(e1: Column, e2: Column) -> Column:

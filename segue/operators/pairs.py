@@ -15,14 +15,23 @@ FEATURES = ["bpm", "camelot", "mean_energy", "spectral_centroid"]
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Add the four component scores and the rounded overall score to ``a_*``/``b_*`` pairs."""
-    return pairs.select(
-        "*",
-        P.tempo_score(F.col("a_bpm"), F.col("b_bpm")).alias("tempo"),
-        P.key_score(F.col("a_camelot"), F.col("b_camelot")).alias("key"),
-        P.energy_score(F.col("a_mean_energy"), F.col("b_mean_energy")).alias("energy"),
-        P.spectral_score(F.col("a_spectral_centroid"), F.col("b_spectral_centroid")).alias("spectral"),
-    ).withColumn("overall", snap(P.acoustic_score(F.col("tempo"), F.col("key"), F.col("energy"), F.col("spectral"))))
+    """Add the four component scores and the rounded overall score to ``a_*``/``b_*`` pairs.
+
+    Components are projected before they are combined, so each is evaluated once per pair.
+    """
+    a_bpm, b_bpm = F.col("a_bpm"), F.col("b_bpm")
+    known = (a_bpm > 0) & (b_bpm > 0)
+    return (
+        pairs.withColumn("_gap", P.tempo_gap(a_bpm, b_bpm))
+        .select(
+            *pairs.columns,
+            F.when(known, P.tempo_from_gap(F.col("_gap"))).otherwise(0.5).alias("tempo"),
+            P.key_score(F.col("a_camelot"), F.col("b_camelot")).alias("key"),
+            P.energy_score(F.col("a_mean_energy"), F.col("b_mean_energy")).alias("energy"),
+            P.spectral_score(F.col("a_spectral_centroid"), F.col("b_spectral_centroid")).alias("spectral"),
+        )
+        .withColumn("overall", snap(P.acoustic_score(F.col("tempo"), F.col("key"), F.col("energy"), F.col("spectral"))))
+    )
 
 
 def _attribute_mean(tracks: DataFrame, attr: str, score, n_name: str) -> DataFrame:

@@ -15,23 +15,30 @@ from segue.registry import query
 from segue.sources.tables import Tables
 
 
-@query("pair_topk", "tracks", f"""
-, scored as (select a.track_id as src, b.track_id as dst, {S.overall('a.', 'b.')} as overall
-  from tracks a join tracks b on a.track_id <> b.track_id),
+# All ordered pairs for the SQL twins: gaps and key scores are computed once per pair or code.
+_ALL_PAIRS = f"""
+, codes as (select distinct camelot as c from tracks),
+kd as (select x.c as c1, y.c as c2, {S.key('x.c', 'y.c')} as ke from codes x, codes y),
+raw as (select a.track_id as src, b.track_id as dst, least(abs(a.bpm-b.bpm)/greatest(a.bpm,1.0::double), abs(2*a.bpm-b.bpm)/greatest(2*a.bpm,1.0::double), abs(a.bpm-2*b.bpm)/greatest(2*b.bpm,1.0::double)) as d,
+  kd.ke, {S.energy('a.mean_energy', 'b.mean_energy')} as en, {S.spectral('a.spectral_centroid', 'b.spectral_centroid')} as sp
+  from tracks a join tracks b on a.track_id <> b.track_id join kd on kd.c1 = a.camelot and kd.c2 = b.camelot),
+comps as (select src, dst, case when d<=0.02::double then 1.0::double when d<=0.05::double then 0.9::double when d<=0.08::double then 0.9::double-(d-0.05::double)*(0.4::double/0.03::double)
+  when d<=0.15::double then 0.5::double-(d-0.08::double)*(0.4::double/0.07::double) else greatest(0.05::double, 0.1::double-(d-0.15::double)*0.5::double) end as te, ke, en, sp from raw)"""
+
+
+@query("pair_topk", "tracks", f"""{_ALL_PAIRS},
+scored as (select src, dst, {S.snap('(0.4::double*te + 0.3::double*ke + 0.2::double*en + 0.1::double*sp)/1.0::double')} as overall from comps),
 ranked as (select *, row_number() over (partition by src order by overall desc, dst) as rank from scored)
 select src, dst, rank, overall from ranked where rank <= 5""")
 def pair_topk(t: Tables) -> DataFrame:
     return ops.pair_topk(t.tracks(), 5)
 
 
-@query("pair_matrix", "tracks", f"""
-, scored as (select a.track_id as src, {S.tempo('a.bpm', 'b.bpm')} as te, {S.key('a.camelot', 'b.camelot')} as ke,
-  {S.energy('a.mean_energy', 'b.mean_energy')} as en, {S.spectral('a.spectral_centroid', 'b.spectral_centroid')} as sp
-  from tracks a join tracks b on a.track_id <> b.track_id)
+@query("pair_matrix", "tracks", f"""{_ALL_PAIRS}
 select src, count(*) as n_partners, round(avg(te),6) as mean_tempo, round(avg(ke),6) as mean_key, round(avg(en),6) as mean_energy,
   round(avg(sp),6) as mean_spectral,
   round(0.4::double*avg(te)+0.3::double*avg(ke)+0.2::double*avg(en)+0.1::double*avg(sp),6) as mean_overall
-from scored group by src""")
+from comps group by src""")
 def pair_matrix(t: Tables) -> DataFrame:
     return ops.pair_matrix_summary(t.tracks())
 
