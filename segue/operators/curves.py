@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segue.functions.basic import clip, r6
+from segue.functions.basic import clip, r6, snap
 
 def _track():
     return Window.partitionBy("track_id")
@@ -108,7 +108,7 @@ def section_labels(bars: DataFrame, boundaries: DataFrame, duration: float, bar_
         .when(sd > 0.1, "bridge")
         .otherwise("verse")
     )
-    return stats.join(whole, "track_id").select("track_id", "start_t", "end_t", r6(e).alias("energy_level"), label.alias("label"))
+    return stats.join(whole, "track_id").select("track_id", "start_t", "end_t", snap(e, 6).alias("energy_level"), label.alias("label"))
 
 
 def intro_outro(curve: DataFrame, threshold: float, bar: int, bars: int = 4) -> DataFrame:

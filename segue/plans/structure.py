@@ -77,7 +77,7 @@ SEC = f"""wh as (select track_id, avg(energy) as m from be group by 1),
 cuts as (select distinct track_id, time from (select track_id, time from ph where time > 0 and time < {SPAN} union all select track_id, 0 from wh)),
 sx as (select track_id, time as s, coalesce(lead(time) over (partition by track_id order by time), {SPAN}) as e from cuts),
 st as (select sx.track_id, s, e, avg(be.energy) as en, round(stddev_pop(be.energy), 9) as sd from sx join be on be.track_id = sx.track_id and be.bar_idx >= floor(s / {BAR}) and be.bar_idx < greatest(floor(s / {BAR}) + 1, floor(e / {BAR})) group by 1, 2, 3),
-sec as (select st.track_id, s as start_t, cast(e as double) as end_t, round(en, 6) as energy_level, case when s < {SPAN} * 0.15::double and en < m * 0.9::double then 'intro' when e > {SPAN} * 0.85::double and en < m * 0.9::double then 'outro'
+sec as (select st.track_id, s as start_t, cast(e as double) as end_t, round(en + 1e-9, 6) as energy_level, case when s < {SPAN} * 0.15::double and en < m * 0.9::double then 'intro' when e > {SPAN} * 0.85::double and en < m * 0.9::double then 'outro'
  when (s + e) / 2 / {SPAN} > 0.88::double then 'outro' when en > m * 1.15::double and sd < 0.08 then 'chorus' when en < m * 0.85::double then 'verse' when sd > 0.1 then 'bridge' else 'verse' end as label from st join wh using (track_id))"""
 
 
@@ -101,8 +101,8 @@ CTX = "px as (select track_id, bar_idx, bar_t, energy, round(stddev_pop(energy)
 _ENTRY_SQL = f"case when time < intro_end or time >= {SPAN} then 0::double else {S.clip(f'0.5::double + case when time > intro_end + {BAR} then 0.1::double else 0 end + case when on_bar then 0.2::double else 0 end + coalesce(0.2::double * (1 - least(1.0::double, spread * 5)), 0)')} end"
 _EXIT_BASE = f"(0.3::double + case when time >= outro_start then 0.3::double when time >= {SPAN} * 0.6::double then 0.1::double else 0 end + case when on_bar then 0.2::double else 0 end + case when dropv > 0.05 then least(0.2::double, dropv * 2) else 0 end)"
 _EXIT_SQL = f"case when time <= 0 or time >= {SPAN - 2} then 0::double else {S.clip(f'{_EXIT_BASE} * case when time < {SPAN} * 0.3::double and time < outro_start then 0.5::double else 1 end')} end"
-CAND = f"""cand as (select track_id, cast(bar_t as double) as time from be union select track_id, round({SPAN} * f, 3) from wh0, (values (0.7::double), (0.75::double), (0.8::double), (0.85::double), (0.9::double)) q(f)),
-wh0 as (select distinct track_id from curve),
+CAND = f"""wh0 as (select distinct track_id from curve),
+cand as (select track_id, cast(bar_t as double) as time from be union select track_id, round({SPAN} * f, 3) from wh0, (values (0.7::double), (0.75::double), (0.8::double), (0.85::double), (0.9::double)) q(f)),
 pc as (select c.track_id, c.time, px.spread, px.dropv, io.intro_end, io.outro_start, abs(c.time - round(c.time / {BAR}) * {BAR}) < {BAR} * 0.1 and round(c.time / {BAR}) < {SPAN // BAR} as on_bar
  from cand c join px on px.track_id = c.track_id and px.bar_idx = floor(c.time / {BAR}) join io on io.track_id = c.track_id)"""
 
@@ -266,7 +266,7 @@ def onset_envelope(t: Tables) -> DataFrame:
 
 
 _LAG = """, lg as (select unnest(range(-6, 7)) as lag), a as (select track_id, t, level from curve), b as (select track_id - 1 as track_id, t, level from curve),
-xc as (select a.track_id, lag, round(sum(a.level * b.level), 4) as s from a cross join lg join b on b.track_id = a.track_id and b.t = a.t - lag group by 1, 2)"""
+xc as (select a.track_id, lag, round(sum(a.level * b.level) + 1e-6, 4) as s from a cross join lg join b on b.track_id = a.track_id and b.t = a.t - lag group by 1, 2)"""
 
 
 @query("lag_xcorr", "curve", f"{_LAG} select track_id, cast(arg_max(lag, (s, -lag)) as bigint) as best_lag, cast(abs(arg_max(lag, (s, -lag))) as bigint) as error, max(s) as strength from xc group by 1")
@@ -275,7 +275,7 @@ def lag_xcorr(t: Tables) -> DataFrame:
     curve = t.curve()
     a = curve.select("track_id", _c("level").alias("x"), "t", F.explode(F.sequence(F.lit(-6).cast("bigint"), F.lit(6).cast("bigint"))).alias("lag")).withColumn("bt", _c("t") - _c("lag"))
     b = curve.select((_c("track_id") - 1).alias("track_id"), _c("t").alias("bt"), _c("level").alias("y"))
-    s = a.join(b, ["track_id", "bt"]).groupBy("track_id", "lag").agg(F.round(F.sum(_c("x") * _c("y")), 4).alias("s"))
+    s = a.join(b, ["track_id", "bt"]).groupBy("track_id", "lag").agg(F.round(F.sum(_c("x") * _c("y")) + 1e-6, 4).alias("s"))
     best = F.max_by("lag", F.struct("s", -_c("lag")))
     return s.groupBy("track_id").agg(best.alias("best_lag"), F.abs(best).alias("error"), F.max("s").alias("strength"))
 
