@@ -9,13 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segue.functions.basic import clip, r6
+from segue.functions.basic import clip, r6, snap
 from segue.functions.vectors import entropy, softmax
 from segue.functions.vocab import ACTIVITIES, INTENSITIES, MOODS, STYLES
 
 GROUPS = {"mood": MOODS, "activity": ACTIVITIES, "intensity": INTENSITIES, "style": STYLES}
 
 
+def _labelled(rows, group: str):
+    return F.transform(rows, lambda r, i: F.struct(
+        F.lit(group).alias("grp"), i.alias("ord"), r["label"].alias("label"), r["raw"].alias("raw"), r["rel"].alias("rel")))
+
+
 def group_scores(windows: DataFrame, vector: str = "embedding", groups: dict[str, list[str]] | None = None) -> DataFrame:
     """Raw and relative score per window and label: ``track_id, win, grp, ord, label, raw, rel``.
 
@@ -25,8 +30,7 @@ def group_scores(windows: DataFrame, vector: str = "embedding", groups: dict[str
     for name, labels in (groups or GROUPS).items():
         raw = F.slice(F.col(vector), at, len(labels))
         rows = F.arrays_zip(raw.alias("raw"), softmax(raw).alias("rel"), F.array(*[F.lit(x) for x in labels]).alias("label"))
-        parts.append(F.transform(rows, lambda r, i, g=name: F.struct(
-            F.lit(g).alias("grp"), i.alias("ord"), r["label"].alias("label"), r["raw"].alias("raw"), r["rel"].alias("rel"))))
+        parts.append(_labelled(rows, name))
         at += len(labels)
     return windows.select("track_id", "win", F.explode(F.concat(*parts)).alias("e")).select("track_id", "win", "e.*")
 
@@ -67,7 +71,7 @@ def tags(metrics: DataFrame, min_reliability: float = 0.55, min_margin: float =
     good = (F.col("reliability") >= min_reliability) & (F.col("margin") >= min_margin)
     rows = F.array_sort(F.collect_list(F.when(good, F.struct(rank.alias("i"), F.col("top_label").alias("l")))))
     return metrics.groupBy("track_id").agg(rows.alias("t"), F.avg("reliability").alias("c")).select(
-        "track_id", F.concat_ws(",", F.slice(F.transform("t", lambda x: x["l"]), 1, 6)).alias("tags"), r6(F.col("c")).alias("confidence"))
+        "track_id", F.concat_ws(",", F.slice(F.transform("t", lambda x: x["l"]), 1, 6)).alias("tags"), snap(F.col("c"), 6).alias("confidence"))
 
 
 def centroid(windows: DataFrame, vector: str = "embedding") -> DataFrame:

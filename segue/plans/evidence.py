@@ -50,7 +50,7 @@ def score_separation(t: Tables) -> DataFrame:
 
 
 @query("semantic_tags", "semantic", f""", {SEPARATE}, o(grp, i) as (values ('mood', 0), ('activity', 1), ('intensity', 2), ('style', 3))
-select track_id, coalesce(string_agg(case when reliability >= 0.22 and margin >= 0.001 then top_label end, ',' order by i), '') as tags, round(avg(reliability), 6) as confidence from sep join o using (grp) group by 1""")
+select track_id, coalesce(string_agg(case when reliability >= 0.22 and margin >= 0.001 then top_label end, ',' order by i), '') as tags, round(avg(reliability) + 1e-9, 6) as confidence from sep join o using (grp) group by 1""")
 def semantic_tags(t: Tables) -> DataFrame:
     return ops.tags(_separation(t), 0.22, 0.001)
 
