@@ -111,8 +111,7 @@ def trough_db(progress: Column, a_db: Column, b_db: Column, a_anchor: Column, b_
     cut = kind == "phrase_cut"
     ga = F.when(cut, 0.0).otherwise(F.cos(progress * (math.pi / 2)))
     gb = F.when(cut, 1.0).otherwise(F.sin(progress * (math.pi / 2)))
-    amp = lambda g, db: g * F.pow(F.lit(10.0), db / 20)
-    power = amp(ga, a_db) * amp(ga, a_db) + amp(gb, b_db) * amp(gb, b_db)
+    power = F.pow(ga, F.lit(2.0)) * F.pow(F.lit(10.0), a_db / 10) + F.pow(gb, F.lit(2.0)) * F.pow(F.lit(10.0), b_db / 10)
     return a_anchor * (1 - progress) + b_anchor * progress - 10 * F.log10(F.greatest(power, F.lit(1e-12)))
 
 

@@ -79,14 +79,25 @@ def quality(c: DataFrame) -> DataFrame:
     )
     windows = F.greatest(F.lit(4), F.ceil(f("overlap") / 2).cast("int"))
 
-    def trough(i: Column) -> Column:
+    # Lambdas bind intermediate values, so each index and mean is evaluated once per window.
+    def bounds(i: Column) -> Column:
         p = (i + 0.5) / windows
         ta, tb = f("exit_t") + p * f("overlap"), f("entry_t") + p * f("consumed")
-        da = window_mean(f("a_p_loud"), f("a_n"), ta - 1, ta + 1, f("a_duration_sec"), la) - la
-        db = window_mean(f("b_p_loud"), f("b_n"), tb - 1, tb + 1, f("b_duration_sec"), lb) - lb
-        return Q.trough_db(p, da, db, f("_la"), f("_lb"), f("kind"))
+        at = lambda x, side, fn: fn(x / f(f"{side}_duration_sec") * f(f"{side}_n"))
+        low = lambda x, side: F.greatest(F.lit(0), F.least(f(f"{side}_n") - 1, at(x - 1, side, F.floor))).cast("int")
+        high = lambda x, side: F.least(f(f"{side}_n"), at(x + 1, side, F.ceil)).cast("int")
+        return F.struct(p.alias("p"), low(ta, "a").alias("fa"), high(ta, "a").alias("ha"), low(tb, "b").alias("fb"), high(tb, "b").alias("hb"))
 
-    worst = F.greatest(F.lit(0.0), F.array_max(F.transform(F.sequence(F.lit(0), windows - 1), trough)))
+    def mean(side: str, first: Column, high: Column, fallback: Column) -> Column:
+        last = F.greatest(first + 1, high)
+        prefix = f(f"{side}_p_loud")
+        return F.coalesce((F.element_at(prefix, last + 1) - F.element_at(prefix, first + 1)) / (last - first), fallback) - fallback
+
+    def levels(r: Column) -> Column:
+        return F.struct(r["p"].alias("p"), mean("a", r["fa"], r["ha"], la).alias("da"), mean("b", r["fb"], r["hb"], lb).alias("db"))
+
+    steps = F.transform(F.transform(F.sequence(F.lit(0), windows - 1), bounds), levels)
+    worst = F.greatest(F.lit(0.0), F.array_max(F.transform(steps, lambda r: Q.trough_db(r["p"], r["da"], r["db"], f("_la"), f("_lb"), f("kind")))))
     ga, gb = Q.pair_gain(la, lb)
     up = lambda g: F.pow(F.lit(10.0), g / 20)
     d = d.select(

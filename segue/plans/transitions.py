@@ -157,11 +157,11 @@ def length_options(t: Tables) -> DataFrame:
 
 # --- search over candidates -------------------------------------------------------------
 
-_OPTIONS = [(x, e, k) for x in (0.6, 0.8) for e in (0.0, 20.0) for k in ("crossfade", "beatmatched_blend", "filter_sweep", "phrase_cut")]
+_OPTIONS = [(x, 0.0, k) for x in (0.6, 0.8) for k in ("crossfade", "beatmatched_blend", "phrase_cut")]
 
 
 def _search_frame(t: Tables) -> DataFrame:
-    """Sixteen candidates per handoff, scored; overlap is eight bars (four for a cut)."""
+    """Six candidates per handoff, scored; overlap is eight bars (four for a cut)."""
     opts = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(e).alias("e"), F.lit(k).alias("k")) for x, e, k in _OPTIONS])
     d = _features(t)
     d = d.select(*[c for c in d.columns if c not in ("overlap_sec", "transition_type")], F.explode(opts).alias("o"))
@@ -234,7 +234,7 @@ def segment_pair_score_query(t: Tables) -> DataFrame:
 
 
 def ops_kinds():
-    return F.array(*[F.lit(k) for k in ("crossfade", "beatmatched_blend", "filter_sweep", "phrase_cut")])
+    return F.array(*[F.lit(k) for k in ("crossfade", "beatmatched_blend", "phrase_cut")])
 
 
 # --- layering -----------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from segue.session import tune
 from segue.sources.tables import Tables, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +19,12 @@ def query(name: str, tables: str = "", oracle: str | None = None):
     def wrap(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
+            return fn(Tables(spark, sf_dir))
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = with_tables(tables, oracle)
         return fn

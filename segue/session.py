@@ -33,6 +33,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime settings of long scoring expressions.
+
+    Generated methods above 8 kB of bytecode are never compiled by the JVM; below this
+    limit Spark splits such expressions into smaller methods instead.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
