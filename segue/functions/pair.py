@@ -59,17 +59,20 @@ def wheel_index(code: Column) -> Column:
     return F.when(h.between(1, 12) & m.isin("A", "B"), (h - 1) * 2 + F.when(m == "B", 1).otherwise(0))
 
 
+def _cell(c1: Column, c2: Column) -> Column:
+    """Position in the 24 x 24 tables; the extra last cell stands for unknown codes."""
+    return F.coalesce(wheel_index(c1) * 24 + wheel_index(c2) + 1, F.lit(len(_DISTANCES) + 1))
+
+
 def wheel_distance(c1: Column, c2: Column) -> Column:
     """Distance 0..6 by one lookup in a constant 24 x 24 table; unknown codes are 6 apart."""
-    cell = wheel_index(c1) * 24 + wheel_index(c2) + 1
-    return F.coalesce(F.element_at(F.array(*[F.lit(d) for d in _DISTANCES]), cell), F.lit(6))
+    return F.element_at(F.array(*[F.lit(d) for d in [*_DISTANCES, 6]]), _cell(c1, c2))
 
 
 def key_score(c1: Column, c2: Column) -> Column:
     blank = (F.coalesce(c1, F.lit("")) == "") | (F.coalesce(c2, F.lit("")) == "")
-    cell = wheel_index(c1) * 24 + wheel_index(c2) + 1
-    scores = F.array(*[F.lit(KEY_DISTANCE_SCORES[d]) for d in _DISTANCES])
-    return F.when(blank, 0.5).otherwise(F.coalesce(F.element_at(scores, cell), F.lit(0.05)))
+    scores = F.array(*[F.lit(KEY_DISTANCE_SCORES[d]) for d in [*_DISTANCES, 6]])
+    return F.when(blank, 0.5).otherwise(F.element_at(scores, _cell(c1, c2)))
 
 
 def energy_score(e1: Column, e2: Column) -> Column:
