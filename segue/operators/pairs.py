@@ -118,17 +118,28 @@ def _score(pairs: DataFrame) -> DataFrame:
     return score_pairs(pairs.where(F.col("src") != F.col("dst"))).select("src", "dst", "overall")
 
 
-def _tight(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Close tempo, adjacent key, near energy. Anything outside scores at most 0.96."""
-    left = a.select("*", F.explode(_near_codes(F.col("a_camelot"))).alias("b_camelot")).select(
-        "*", F.explode(_near_fold(_octave(F.col("a_bpm")), 11, 1)).alias("t"),
-    ).select("*", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)),
-                                        lambda i: F.floor(F.col("a_mean_energy") / 0.2).cast("int") + i)).alias("e"))
-    right = b.select("*", _fold(_octave(F.col("b_bpm")), 11).alias("t"),
-                     F.floor(F.col("b_mean_energy") / 0.2).cast("int").alias("e"))
+def _block(a: DataFrame, b: DataFrame, folds: int, width: float) -> DataFrame:
+    """Adjacent key, tempo within one of ``folds`` octave bins, energy within one bin of ``width``."""
+    energy = lambda p: F.floor(F.col(f"{p}_mean_energy") / width).cast("int")
+    left = (
+        a.withColumn("b_camelot", F.explode(_near_codes(F.col("a_camelot"))))
+        .withColumn("t", F.explode(_near_fold(_octave(F.col("a_bpm")), folds, 1)))
+        .withColumn("e", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: energy("a") + i)))
+    )
+    right = b.select("*", _fold(_octave(F.col("b_bpm")), folds).alias("t"), energy("b").alias("e"))
     return left.join(right, ["b_camelot", "t", "e"])
 
 
+def _tight(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Tempo gap up to 5 %, energy within 0.2. Anything outside scores at most 0.96."""
+    return _block(a, b, 11, 0.2)
+
+
+def _near(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Tempo gap up to 8 %, energy within 0.3. Anything outside scores at most 0.91."""
+    return _block(a, b, 8, 0.3)
+
+
 def _tempo_only(a: DataFrame, b: DataFrame) -> DataFrame:
     """Tempo gap up to 8 %. Anything outside scores below 0.8."""
     left = a.select("*", F.explode(_near_fold(_octave(F.col("a_bpm")), 8, 1)).alias("t"))
@@ -170,7 +181,7 @@ def _plateau(tracks: DataFrame, k: int) -> DataFrame:
     return home.join(candidates, keys).drop("ct", "ce", "cs", "camelot")
 
 
-def pair_topk(tracks: DataFrame, k: int = 5, dense_from: int = 200_000) -> DataFrame:
+def pair_topk(tracks: DataFrame, k: int = 5, dense_from: int = 100_000) -> DataFrame:
     """The k best partners of every track, ties by id; equal to ranking the full matrix.
 
     Blocks are searched from tight to wide. A track is settled as soon as its k-th
@@ -180,9 +191,9 @@ def pair_topk(tracks: DataFrame, k: int = 5, dense_from: int = 200_000) -> DataF
     tracks = tracks.select("track_id", *FEATURES)
     a, b = _sides(tracks)
     done: list[DataFrame] = []
-    levels = [(lambda s: _tight(s, b), 0.96), (lambda s: _tempo_only(s, b), 0.8)]
+    levels = [(lambda s: _near(s, b), 0.91), (lambda s: _tempo_only(s, b), 0.8)]
     if tracks.count() >= dense_from:
-        levels.insert(0, (lambda s: _plateau(tracks, k), 0.999))
+        levels = [(lambda s: _plateau(tracks, k), 0.999), (lambda s: _tight(s, b), 0.96), *levels]
     rest = a
     for block, bound in levels:
         ranked = cut_lineage(_rank(_score(block(rest)), k))
