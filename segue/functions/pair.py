@@ -75,6 +75,22 @@ def key_score(c1: Column, c2: Column) -> Column:
     return F.when(blank, 0.5).otherwise(F.element_at(scores, _cell(c1, c2)))
 
 
+def key_position(code: Column) -> Column:
+    """Wheel position 0..23; 24 for unknown codes, 25 for blank ones."""
+    return F.when(F.coalesce(code, F.lit("")) == "", 25).otherwise(F.coalesce(wheel_index(code), F.lit(24)))
+
+
+def _position_score(i: int, j: int) -> float:
+    if 25 in (i, j):
+        return 0.5
+    return 0.05 if 24 in (i, j) else KEY_DISTANCE_SCORES[_hour_distance(i, j)]
+
+
+def key_score_at(i: Column, j: Column) -> Column:
+    """Key score of two ``key_position`` values by one lookup."""
+    return F.element_at(F.array(*[F.lit(_position_score(x, y)) for x in range(26) for y in range(26)]), i * 26 + j + 1)
+
+
 def energy_score(e1: Column, e2: Column) -> Column:
     d = F.abs(e1 - e2)
     return F.when((e1 <= 0) & (e2 <= 0), 0.8).otherwise(

@@ -100,22 +100,29 @@ def _rank(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
-def _settled(ranked: DataFrame, k: int, bound: float) -> DataFrame:
-    """Sources whose k-th partner already beats anything outside the block."""
-    return (
-        ranked.groupBy("src").agg(F.count(F.lit(1)).alias("c"), F.min("overall").alias("low"))
-        .where((F.col("c") == k) & (F.col("low") > bound)).select("src")
-    )
+def _settled(ranked: DataFrame, k: int) -> DataFrame:
+    """Sources with ``k`` partners above everything their block leaves out."""
+    return ranked.groupBy("src").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == k).select("src")
 
 
 def _sides(tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    a = tracks.select(F.col("track_id").alias("src"), *[F.col(c).alias(f"a_{c}") for c in FEATURES])
-    b = tracks.select(F.col("track_id").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in FEATURES])
+    """Sources and targets; the key position is worked out once per track, not per pair."""
+    t = tracks.withColumn("w", P.key_position(F.col("camelot")))
+    cols = [*FEATURES, "w"]
+    a = t.select(F.col("track_id").alias("src"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = t.select(F.col("track_id").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in cols])
     return a, b
 
 
 def _score(pairs: DataFrame) -> DataFrame:
-    return score_pairs(pairs.where(F.col("src") != F.col("dst"))).select("src", "dst", "overall")
+    a_bpm, b_bpm = F.col("a_bpm"), F.col("b_bpm")
+    p = pairs.where(F.col("src") != F.col("dst")).select(
+        "src", "dst", a_bpm, b_bpm, P.tempo_gap(a_bpm, b_bpm).alias("gap"),
+        P.key_score_at(F.col("a_w"), F.col("b_w")).alias("key"),
+        P.energy_score(F.col("a_mean_energy"), F.col("b_mean_energy")).alias("energy"),
+        P.spectral_score(F.col("a_spectral_centroid"), F.col("b_spectral_centroid")).alias("spectral"))
+    tempo = F.when((a_bpm <= 0) | (b_bpm <= 0), 0.5).otherwise(P.tempo_from_gap(F.col("gap")))
+    return p.select("src", "dst", snap(P.acoustic_score(tempo, F.col("key"), F.col("energy"), F.col("spectral"))).alias("overall"))
 
 
 def _block(a: DataFrame, b: DataFrame, folds: int, width: float) -> DataFrame:
@@ -178,7 +185,9 @@ def _plateau(tracks: DataFrame, k: int) -> DataFrame:
     )
     home = cell.select(*keys, F.col("track_id").alias("src"), F.col("bpm").alias("a_bpm"), F.col("camelot").alias("a_camelot"),
                        F.col("mean_energy").alias("a_mean_energy"), F.col("spectral_centroid").alias("a_spectral_centroid"))
-    return home.join(candidates, keys).drop("ct", "ce", "cs", "camelot")
+    # Cells share the key, so one position serves both sides.
+    w = P.key_position(F.col("a_camelot"))
+    return home.join(candidates, keys).drop("ct", "ce", "cs", "camelot").withColumn("a_w", w).withColumn("b_w", w)
 
 
 def pair_topk(tracks: DataFrame, k: int = 5, dense_from: int = 100_000) -> DataFrame:
@@ -196,8 +205,9 @@ def pair_topk(tracks: DataFrame, k: int = 5, dense_from: int = 100_000) -> DataF
         levels = [(lambda s: _plateau(tracks, k), 0.999), (lambda s: _tight(s, b), 0.96), *levels]
     rest = a
     for block, bound in levels:
-        ranked = cut_lineage(_rank(_score(block(rest)), k))
-        settled = _settled(ranked, k, bound)
+        # Only scores above the bound can settle a source, so the rest is dropped before ranking.
+        ranked = cut_lineage(_rank(_score(block(rest)).where(F.col("overall") > bound), k))
+        settled = _settled(ranked, k)
         done.append(ranked.join(settled, "src", "left_semi"))
         rest = rest.join(settled, "src", "left_anti")
         if rest.isEmpty():
