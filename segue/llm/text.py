@@ -12,9 +12,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes that part words.
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Kinds of bytes: 0 parts words. Here all but the six ASCII spaces belong to words.
+WORDS = np.ones(256, np.uint8)
+WORDS[[9, 10, 11, 12, 13, 32]] = 0
+#: Letters, digits and bytes of other scripts (1) against signs (2) and spaces.
+SIGNS = WORDS * 2
+SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+#: Letters, digits and bytes of other scripts alone.
+LETTERS = (SIGNS == 1).astype(np.uint8)
+#: A-Z to a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 #: Bytes of text that one vector step works on, unless a single text is longer.
 CHUNK = 1 << 21
@@ -63,18 +71,20 @@ def chunks(off: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and for each text the number of words before it (n + 1 values)."""
+def spans(data: np.ndarray, off: np.ndarray, kind: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and for each text the number of words before it (n + 1 values).
+
+    A word is a run of bytes of one nonzero ``kind`` inside a text.
+    """
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(off), np.int64)
-    gap = SPACE[data]
-    first, last = np.empty(len(data), bool), np.empty(len(data), bool)
-    first[0], first[1:] = True, gap[:-1]
-    last[-1], last[:-1] = True, gap[1:]
-    cut = off[(off > 0) & (off < len(data))]
-    first[cut], last[cut - 1] = True, True
-    starts = np.flatnonzero(first & ~gap)
-    return starts, np.flatnonzero(last & ~gap) + 1, np.searchsorted(starts, off)
+    k = kind[data]
+    edge = np.ones(len(data) + 1, bool)
+    np.not_equal(k[1:], k[:-1], out=edge[1:-1])
+    edge[off] = True
+    word = k != 0
+    starts = np.flatnonzero(edge[:-1] & word)
+    return starts, np.flatnonzero(edge[1:] & word) + 1, np.searchsorted(starts, off)
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
