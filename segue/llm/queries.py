@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segue.llm import packing, quality, simhash, substring, toxicity, urls
+from segue.llm import decontam, metric_join, packing, quality, secrets, simhash, substring, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,11 +60,45 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+@_query("op4_decontamination")
+def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query("op5_quality")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query("op6_secret_scan")
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(_table(spark, sf_dir, "documents"))
+
+
+@_query("op7_metric_join", """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings
+), u as (
+  select vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) as norm
+  from v where vec_id is not null and label is not null and len(e) > 0 and len(list_filter(e, x -> x is null or not isfinite(x))) = 0
+), l as (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where a.norm > 0 and b.norm > 0 and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reach(a, b) as (
+  select a, b from l union select r.a, l.b from reach r join l on r.b = l.a
+), n as (
+  select a, count(*) as n_links from l group by a
+), c as (
+  select a, min(b) as low from reach group by a
+)
+select v.vec_id, coalesce(n.n_links, 0) as n_links, least(v.vec_id, coalesce(c.low, v.vec_id)) as component_id,
+       v.vec_id = least(v.vec_id, coalesce(c.low, v.vec_id)) as kept
+from v left join n on n.a = v.vec_id left join c on c.a = v.vec_id
+""")
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @_query("op8_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

@@ -104,3 +104,21 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 def pair_hash(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
     """Hash of ordered pairs of hashes."""
     return mix(left * _U(0x9FB21C651E98DF25) + right * _U(0xD6E8FEB86659FD93) + _U(salt))
+
+
+def run_hash(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` values of ``h``, by doubling; none if there are fewer."""
+    if len(h) < width:
+        return np.empty(0, np.uint64)
+    out, done, part, size = None, 0, h, 1
+    while True:
+        power = _U(pow(_BASE, size, 1 << 64))  # moves a hash past a run of this size
+        if width & size:
+            n = len(h) - done - size + 1
+            out = part if out is None else out[:n] * power + part[done : done + n]
+            done += size
+        size *= 2
+        if size > width:
+            return mix(out)
+        n = len(part) - size // 2
+        part = part[:n] * power + part[size // 2 :]
