@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segue.llm import decontam, metric_join, packing, quality, secrets, simhash, substring, toxicity, urls
+from segue.llm import decontam, lm, metric_join, packing, quality, secrets, simhash, substring, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +55,11 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+@_query("op2_lm_score")
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query("op3_packing")
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
@@ -109,6 +114,25 @@ def simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-@_query("op10_substring_dedup")
+@_query("op10_substring_dedup", r"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), g as (
+  select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13
+), k as (
+  select doc_id, i, array_to_string(ws[i:i + 12], ' ') as s from g
+), m as (
+  select s, min(doc_id) as low from k group by s
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 13)) as j from k join m using (s) where low < doc_id
+), a as (
+  select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as j from w
+), kept as (
+  select a.doc_id, count(gone.j) as n_removed, string_agg(a.word, ' ' order by a.j) filter (where gone.j is null) as t
+  from a left join gone on a.doc_id = gone.doc_id and a.j = gone.j group by a.doc_id
+)
+select w.doc_id, len(w.ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join kept on w.doc_id = kept.doc_id
+""")
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")

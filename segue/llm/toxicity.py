@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,28 +108,55 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fit_rows:
     return w
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row of ``docs``. Null and empty texts get the bias alone. One pass, no shuffle."""
+def _scorer(weights: np.ndarray):
+    """Function from an Arrow column of texts to their scores; only nonzero weights travel."""
     used = np.flatnonzero(weights)
     value = weights[used].astype(np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def open_() -> Callable[[pa.Array], np.ndarray]:
         w = np.zeros(SLOTS, np.float32)
         w[used] = value
-        for batch in batches:
-            data, off = text_bytes(batch.column(1))
+
+        def of(column: pa.Array) -> np.ndarray:
+            data, off = text_bytes(column)
             out = [np.empty(0)]
             for i, j in chunks(off):
                 text, slot = slots(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 some = (w[slot] != 0) & (slot != 0)
                 text, slot = distinct(text[some], slot[some])
                 out.append(sigmoid(w[0] + np.bincount(text, w[slot], j - i)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], ["id", "score"])
+            return np.concatenate(out)
+
+        return of
+
+    return open_
+
+
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) for every row of ``docs``. Null and empty texts get the bias alone. One pass, no shuffle."""
+    scorer = _scorer(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = scorer()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of(batch.column(1)))], ["id", "score"])
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, f"id {kept.schema[0].dataType.simpleString()}, score double")
 
 
+def clean(docs: DataFrame, weights: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that score under ``threshold``."""
+    scorer = _scorer(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = scorer()
+        for batch in batches:
+            yield batch.filter(pa.array(of(batch.column(batch.schema.get_field_index(text_col))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
