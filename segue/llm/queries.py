@@ -82,10 +82,10 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op7_metric_join", """
 with recursive v as (
-  select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
 ), u as (
-  select vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) as norm
-  from v where vec_id is not null and label is not null and len(e) > 0 and len(list_filter(e, x -> x is null or not isfinite(x))) = 0
+  select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm
+  from v where vec_id is not null and label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
 ), l as (
   select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
   where a.norm > 0 and b.norm > 0 and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
