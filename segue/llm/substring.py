@@ -12,43 +12,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segue.llm.store import saved
-from segue.llm.text import chunks, hashes, mix, spans, text_bytes
+from segue.llm.text import WORDS, chunks, hashes, run_hash, spans, text_bytes
 
 #: Words in a window and in the gram whose least hash places it.
 WINDOW, GRAM = 13, 4
 #: Bytes of text whose super-k-mers are folded and packed together.
-FLUSH = 8 << 20
+FLUSH = 4 << 20
 #: Bytes of packed strings, before compression, that a bucket is to hold.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Occurrences of one string in a flush beyond which they wait for its answer instead of travelling with it.
 RIDERS = 64
 #: Minimisers with this share of all super-k-mers are placed window by window; so there are a million at most.
 HEAVY_SHARE, HEAVY_LEAST = 1e-6, 100_000
 
 _U = np.uint64
-_K = _U(0x9E3779B97F4A7C15)
-
-
-def _run_hash(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` values of ``h``, by doubling."""
-    done, out, power, part = 0, None, _K, h
-    size = 1
-    while True:
-        if width & size:
-            if out is None:
-                out, done = part, size
-            else:
-                n = len(h) - done - size + 1
-                out = out[:n] * _U(pow(int(_K), size, 1 << 64)) + part[done : done + n]
-                done += size
-        if size * 2 > width:
-            return mix(out)
-        n = len(part) - size
-        if n <= 0:
-            return np.empty(0, np.uint64)
-        part = part[:n] * power + part[size : size + n]
-        power = power * power
-        size *= 2
 
 
 def _run_min(g: np.ndarray, width: int) -> np.ndarray:
@@ -65,13 +42,17 @@ class _Words:
     """Words of some texts, joined by single spaces, with the number of words before each text."""
 
     def __init__(self, texts: list[bytes]):
-        self.line = b" ".join(b"\n".join(texts).split())
-        data = np.frombuffer(self.line, np.uint8)
+        raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        word = WORDS[raw] == 1
+        keep = word.copy()
+        keep[1:] |= word[:-1]  # one blank after each word
+        data = np.where(word, raw, 32)[keep][:-1].astype(np.uint8)
+        self.line = data.tobytes()
         gaps = np.flatnonzero(data == 32)
         self.starts = np.concatenate(([0], gaps + 1)) if len(data) else gaps
         self.ends = np.concatenate((gaps, [len(data)])) if len(data) else gaps
-        joined = np.frombuffer(b"".join(texts), np.uint8)
-        self.first = spans(joined, np.cumsum([0, *map(len, texts)]))[2]
+        before = np.concatenate(([0], np.cumsum(keep & ~word)))  # blanks kept, so words ended
+        self.first = before[np.cumsum([0, *(len(t) + 1 for t in texts)])]
         self.hash = hashes(data, self.starts, self.ends)
 
 
@@ -84,7 +65,7 @@ def _super_kmers(words: _Words, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
     most = len(words.hash) - WINDOW + 1
     if most <= 0:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    least = _run_min(_run_hash(words.hash, GRAM), WINDOW - GRAM + 1)
+    least = _run_min(run_hash(words.hash, GRAM), WINDOW - GRAM + 1)
     valid = np.zeros(most, bool)
     for a, k in zip(words.first, n):
         if k >= WINDOW:
@@ -94,7 +75,7 @@ def _super_kmers(words: _Words, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
     alone = np.zeros(len(at), bool)
     if len(heavy) and len(at):
         alone = heavy[np.minimum(np.searchsorted(heavy, least), len(heavy) - 1)] == least
-        least[alone] = _run_hash(words.hash, WINDOW)[at[alone]]
+        least[alone] = run_hash(words.hash, WINDOW)[at[alone]]
     text = np.searchsorted(words.first, at, "right") - 1
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | alone[1:]
@@ -198,7 +179,7 @@ def _judge_bucket(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, of, doc)
     least = np.repeat(least, count)
-    key = _run_hash(words.hash, WINDOW)[window]
+    key = run_hash(words.hash, WINDOW)[window]
     order = np.argsort(key, kind="stable")
     key = key[order]
     same = np.zeros(len(key), bool)
