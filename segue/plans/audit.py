@@ -185,7 +185,7 @@ def qa_merge(t: Tables) -> DataFrame:
 
 # --- measured continuity -------------------------------------------------------------------------
 
-_CA = """tr as (select mix_id, out_start, tie, track_id, src_start, src_end, mix_id % 150 as cid, (mix_id % 25) * 24 + out_start as s, (mix_id % 25) * 24 + out_start + 8 as e, tie % 100 / 100.0::double as planned from timeline),
+_CA = """tr as (select mix_id, out_start, tie, track_id, src_start, src_end, mix_id % (select max(user_id) + 1 from events) as cid, (mix_id % 25) * 24 + out_start as s, (mix_id % 25) * 24 + out_start + 8 as e, tie % 100 / 100.0::double as planned from timeline),
 m as (select tr.mix_id, tr.out_start, tr.tie, tr.track_id, tr.src_start, tr.src_end, tr.planned, avg(20 * log10(c.level / 500 + 1e-6)) filter (where c.t >= s - 10 and c.t < s) as b, avg(20 * log10(c.level / 500 + 1e-6)) filter (where c.t >= e and c.t < e + 10) as a, min(20 * log10(c.level / 500 + 1e-6)) filter (where c.t >= s and c.t < e) as lo,
  avg(c.n) filter (where c.t >= s - 10 and c.t < s) as bb, avg(c.n) filter (where c.t >= e and c.t < e + 10) as ba from tr join curve c on c.track_id = tr.cid and c.t >= s - 10 and c.t < e + 10 group by all),
 k as (select *, greatest(0, (b + a) / 2 - coalesce(lo, (b + a) / 2)) as tr from m where a is not null and b is not null),
@@ -197,7 +197,7 @@ def _continuity(t: Tables) -> DataFrame:
     """Measured curve before, during and after each event, and the continuity score."""
     tl = t.timeline()
     s = (_c("mix_id") % 25) * 24 + _c("out_start")
-    ev = tl.select("mix_id", *ops.ORDER, (_c("mix_id") % 150).alias("cid"), s.alias("s"), (s + 8).alias("e"), ((_c("tie") % 100) / 100).alias("planned"))
+    ev = tl.select("mix_id", *ops.ORDER, (_c("mix_id") % t.n_curves()).alias("cid"), s.alias("s"), (s + 8).alias("e"), ((_c("tie") % 100) / 100).alias("planned"))
     # An event reads at most 28 curve points; it lists them, so the range join is an equi-join.
     pts = ev.withColumn("t", F.explode(F.sequence(_c("s") - 10, _c("e") + 9)))
     curve = t.curve().select(_c("track_id").alias("cid"), "t", (20 * F.log10(_c("level") / 500 + 1e-6)).alias("db"), _c("n").alias("bass"))

@@ -71,7 +71,7 @@ def sequence_regenerate(t: Tables) -> DataFrame:
 
 def _request_segments(t: Tables) -> DataFrame:
     seg = shortlist(_segments(t), 8, 2).select(_c("track_id").alias("cid"), "segment_id", "s", "e", "role", "quality")
-    pool = _pairs(t).join(t.tracks().select("track_id", "mean_energy"), "track_id").withColumn("cid", _c("track_id") % 150)
+    pool = _pairs(t).join(t.tracks().select("track_id", "mean_energy"), "track_id").withColumn("cid", _c("track_id") % t.n_curves())
     return pool.join(seg, "cid").select("request_id", "track_id", F.concat_ws(":", "track_id", "segment_id").alias("segment_id"), "s", "e", "role", "quality", _c("mean_energy").alias("energy"))
 
 

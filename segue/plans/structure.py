@@ -323,7 +323,7 @@ def vocal_fraction(t: Tables) -> DataFrame:
     return out.select("track_id", "t", r6(_c("covered_sec")).alias("covered_sec"), r6(_c("fraction")).alias("fraction"))
 
 
-_VO = """, h as (select set_id, pos, src % 150 as a_id, dst % 150 as b_id, src * 37 % 40000 as ax, dst * 53 % 40000 as bx, overlap_sec * 10 as ov from handoffs),
+_VO = """, h as (select set_id, pos, src % (select max(user_id) + 1 from events) as a_id, dst % (select max(user_id) + 1 from events) as b_id, src * 37 % 40000 as ax, dst * 53 % 40000 as bx, overlap_sec * 10 as ov from handoffs),
 fa as (select h.set_id, h.pos, sum(greatest(0, least(ax + ov, end_t) - greatest(ax, start_t))) / max(ov) as f from h join regions r on r.track_id = a_id and r.start_t < ax + ov and r.end_t > ax group by 1, 2),
 fb as (select h.set_id, h.pos, sum(greatest(0, least(bx + ov, end_t) - greatest(bx, start_t))) / max(ov) as f from h join regions r on r.track_id = b_id and r.start_t < bx + ov and r.end_t > bx group by 1, 2),
 p as (select h.set_id, h.pos, coalesce(fa.f, 0) * coalesce(fb.f, 0) as p from h left join fa using (set_id, pos) left join fb using (set_id, pos))
@@ -335,7 +335,7 @@ def _overlap_products(t: Tables) -> DataFrame:
     reg = t.regions()
 
     def side(track, start):
-        w = h.select((track % 150).alias("track_id"), "set_id", "pos", start.cast("double").alias("ws"), (start + _c("ov")).cast("double").alias("we"))
+        w = h.select((track % t.n_curves()).alias("track_id"), "set_id", "pos", start.cast("double").alias("ws"), (start + _c("ov")).cast("double").alias("we"))
         return I.covered(w, reg, "track_id", ["set_id", "pos"], ("ws", "we"), ("start_t", "end_t"), 240.0).select("set_id", "pos", (_c("covered_sec") / (_c("we") - _c("ws"))).alias("f"))
 
     a = side(_c("src"), _c("src") * 37 % 40000).withColumnRenamed("f", "fa")

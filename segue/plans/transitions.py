@@ -20,7 +20,7 @@ from segue.registry import query
 from segue.sources.tables import Tables
 
 _c = F.col
-N_CURVES, SCALE = 150, 200.0
+SCALE = 200.0
 
 _STYLE = "case set_id % 4 when 0 then 'smooth' when 1 then 'energetic' when 2 then 'varied' else 'safe' end"
 _VOC = "case when set_id % 3 = 0 then 'vocal_safe' else 'any' end"
@@ -33,7 +33,7 @@ def _features(t: Tables) -> DataFrame:
     pre = ops.curve_prefix(t.curve(), {"energy": _c("level") / 500, "loud": 20 * F.log10(_c("level") / 500 + 1e-6), "bass": low})
     side = lambda p, k: pre.select(_c("track_id").alias(k), *[_c(x).alias(f"{p}_{x}") for x in pre.columns if x != "track_id"])
     h = t.handoff_pairs().select(
-        "*", (_c("src") % N_CURVES).alias("ka"), (_c("dst") % N_CURVES).alias("kb"), F.expr(_STYLE).alias("style"), F.expr(_VOC).alias("vocals"), F.expr(_PROF).alias("profile"),
+        "*", (_c("src") % t.n_curves()).alias("ka"), (_c("dst") % t.n_curves()).alias("kb"), F.expr(_STYLE).alias("style"), F.expr(_VOC).alias("vocals"), F.expr(_PROF).alias("profile"),
         ((_c("a_mid_energy") + _c("b_mid_energy") + _c("a_low_energy") + _c("b_low_energy")) / 4).alias("confidence6"),
         ((_c("a_low_energy") > 0.3) & (_c("b_low_energy") > 0.3)).alias("stems"))
     return h.join(side("a", "ka"), "ka", "left").join(side("b", "kb"), "kb", "left")
@@ -56,7 +56,7 @@ def _candidates(t: Tables) -> DataFrame:
 def _scored(t: Tables) -> DataFrame:
     d = _candidates(t).withColumn("a_section", _section(_c("exit_t"), _c("a_duration_sec"))).withColumn("b_section", _section(_c("entry_t"), _c("b_duration_sec")))
     thin = t.handoff_pairs().select(
-        "set_id", "pos", (_c("src") % N_CURVES).alias("ka"), (_c("dst") % N_CURVES).alias("kb"), (_c("a_duration_sec") * (0.6 + (_c("src") % 4) / 10)).alias("exit_t"), ((_c("dst") % 7) * 5.0).alias("entry_t"), _c("overlap_sec").alias("overlap"),
+        "set_id", "pos", (_c("src") % t.n_curves()).alias("ka"), (_c("dst") % t.n_curves()).alias("kb"), (_c("a_duration_sec") * (0.6 + (_c("src") % 4) / 10)).alias("exit_t"), ((_c("dst") % 7) * 5.0).alias("entry_t"), _c("overlap_sec").alias("overlap"),
         F.when((_c("transition_type") == "beatmatched_blend") & (F.abs(_c("a_bpm") - _c("b_bpm")) > 0.5), _c("overlap_sec") * _c("a_bpm") / _c("b_bpm")).otherwise(_c("overlap_sec")).alias("used"))
     va = _vocal(t, thin, ["set_id", "pos"], "ka", "exit_t", "overlap", "a_vocal")
     vb = _vocal(t, thin, ["set_id", "pos"], "kb", "entry_t", "used", "b_vocal")
@@ -87,12 +87,12 @@ QUAL = f"""cl as (select track_id, count(*) as n, list(level / 500 order by t) a
 q0 as (select h.*, {_STYLE} as style, {_VOC} as vocals, {_PROF} as profile, (a_mid_energy + b_mid_energy + a_low_energy + b_low_energy) / 4 as conf6, a_low_energy > 0.3 and b_low_energy > 0.3 as stems, transition_type as kind, overlap_sec as ov, a_duration_sec * (0.6::double + (src % 4) / 10.0::double) as xt, (dst % 7) * 5.0::double as et, (src % 3) * 10.0::double as cursor_t,
  case when transition_type = 'beatmatched_blend' and abs(a_bpm - b_bpm) > 0.5 then overlap_sec * a_bpm / b_bpm else overlap_sec end as used, a_duration_sec as ad, b_duration_sec as bd, a_integrated_lufs as al, b_integrated_lufs as bl from handoff_pairs h),
 rg as (select track_id, start_t / 200.0::double as s, end_t / 200.0::double as e from regions),
-va as (select q0.set_id, q0.pos, sum(least(xt + ov, e) - greatest(xt, s)) as c from q0 join rg on rg.track_id = src % 150 and s < xt + ov and e > xt group by 1, 2), vb as (select q0.set_id, q0.pos, sum(least(et + used, e) - greatest(et, s)) as c from q0 join rg on rg.track_id = dst % 150 and s < et + used and e > et group by 1, 2),
+va as (select q0.set_id, q0.pos, sum(least(xt + ov, e) - greatest(xt, s)) as c from q0 join rg on rg.track_id = src % (select max(user_id) + 1 from events) and s < xt + ov and e > xt group by 1, 2), vb as (select q0.set_id, q0.pos, sum(least(et + used, e) - greatest(et, s)) as c from q0 join rg on rg.track_id = dst % (select max(user_id) + 1 from events) and s < et + used and e > et group by 1, 2),
 q1 as (select q0.*, least(1, coalesce(va.c, 0) / ov) as a_vocal, least(1, coalesce(vb.c, 0) / used) as b_vocal, {_SECTION_SQL.format(t='xt', d='ad')} as a_section, {_SECTION_SQL.format(t='et', d='bd')} as b_section, {_grid('xt', 'a_bpm', 'ad')} as ia, {_grid('et', 'b_bpm', 'bd')} as ib,
  {_cm('ca.en', 'ca.n', 'xt - 8', 'xt', 'ad', 'a_mean_energy')} as ea, {_cm('cb.en', 'cb.n', 'et', 'et + least(8.0::double, used)', 'bd', 'b_mean_energy')} as eb, {_cm('cb.en', 'cb.n', 'et + used', 'et + used + 10', 'bd', 'b_mean_energy')} as el,
  {_cm('ca.ld', 'ca.n', 'xt - 8', 'xt', 'ad', 'al')} - al as la, {_cm('cb.ld', 'cb.n', 'et + used', 'et + used + 10', 'bd', 'bl')} - bl as lb, {_cm('ca.bs', 'ca.n', 'xt', 'xt + ov', 'ad', 'a_low_energy')} as a_bass, {_cm('cb.bs', 'cb.n', 'et', 'et + used', 'bd', 'b_low_energy')} as b_bass, greatest(4, ceil(ov / 2)) as wc,
  ca.ld as cal, ca.n as can, cb.ld as cbl, cb.n as cbn, {S.tempo('a_bpm', 'b_bpm')} as c_tempo, {S.key('a_camelot', 'b_camelot')} as c_harmonic
- from q0 left join va using (set_id, pos) left join vb using (set_id, pos) left join cl ca on ca.track_id = src % 150 left join cl cb on cb.track_id = dst % 150),
+ from q0 left join va using (set_id, pos) left join vb using (set_id, pos) left join cl ca on ca.track_id = src % (select max(user_id) + 1 from events) left join cl cb on cb.track_id = dst % (select max(user_id) + 1 from events)),
 w0 as (select set_id, pos, kind, la, lb, al, bl, (i + 0.5) / wc as p, {_cm('cal', 'can', 'xt + (i + 0.5) / wc * ov - 1', 'xt + (i + 0.5) / wc * ov + 1', 'ad', 'al')} - al as da, {_cm('cbl', 'cbn', 'et + (i + 0.5) / wc * used - 1', 'et + (i + 0.5) / wc * used + 1', 'bd', 'bl')} - bl as db from q1, lateral (select unnest(range(0, cast(wc as bigint))) as i)),
 w1 as (select set_id, pos, greatest(0, max(la * (1 - p) + lb * p - 10 * log10(greatest(1e-12, case when kind = 'phrase_cut' then pow(pow(10, db / 20), 2) else pow(cos(p * pi() / 2) * pow(10, da / 20), 2) + pow(sin(p * pi() / 2) * pow(10, db / 20), 2) end)))) as trough from w0 group by 1, 2),
 q2 as (select q1.*, trough, {_RMS.format(l='al', r='ea', m='a_mean_energy', o='(al + bl) / 2')} as se, {_RMS.format(l='bl', r='eb', m='b_mean_energy', o='(al + bl) / 2')} as te, {_RMS.format(l='bl', r='el', m='b_mean_energy', o='(al + bl) / 2')} as le, {_gscore('xt', 'ia', 'a_bpm')} as sa, {_gscore('et', 'ib', 'b_bpm')} as sb from q1 join w1 using (set_id, pos)),
@@ -306,7 +306,7 @@ def score_compatibility(t: Tables) -> DataFrame:
 
 _ROLE_ID = "case {x} % 6 when 0 then 'intro' when 1 then 'verse' when 2 then 'chorus' when 3 then 'hook' when 4 then 'drop' else 'unknown' end"
 _LC = f"""ci as (select track_id, level / 500 as v, row_number() over (partition by track_id order by t) - 1 as i, count(*) over (partition by track_id) as n, n as b from curve),
-cn as (select track_id, max(n) as n from ci group by 1), hw as (select set_id, pos, src, dst, src % 150 as ka, dst % 150 as kb, a_duration_sec as ad, b_duration_sec as bd, a_duration_sec - 8 as xs, 8.0::double as we, a_camelot, b_camelot from handoff_pairs),
+cn as (select track_id, max(n) as n from ci group by 1), hw as (select set_id, pos, src, dst, src % (select max(user_id) + 1 from events) as ka, dst % (select max(user_id) + 1 from events) as kb, a_duration_sec as ad, b_duration_sec as bd, a_duration_sec - 8 as xs, 8.0::double as we, a_camelot, b_camelot from handoff_pairs),
 wa as (select set_id, pos, greatest(0, least(n - 1, floor(xs / ad * n))) as f, greatest(greatest(0, least(n - 1, floor(xs / ad * n))) + 1, least(n, ceil(n::double))) as l, ka from hw join cn on cn.track_id = ka), wb as (select set_id, pos, 0 as f, greatest(1, least(n, ceil(we / bd * n))) as l, kb from hw join cn on cn.track_id = kb),
 xa as (select set_id, pos, avg(v) as e, coalesce(regr_slope(v, i), 0) as s, coalesce(stddev_pop(v), 0) as sd, count(*) as k from wa join ci on ci.track_id = ka and i >= f and i < l group by 1, 2), xb as (select set_id, pos, avg(v) as e, coalesce(regr_slope(v, i), 0) as s, coalesce(stddev_pop(v), 0) as sd, count(*) as k from wb join ci on ci.track_id = kb and i >= f and i < l group by 1, 2)"""
 
@@ -318,7 +318,7 @@ def _local_windows(t: Tables) -> DataFrame:
     h = t.handoff_pairs().select("set_id", "pos", "src", "dst", "a_duration_sec", "b_duration_sec", "a_camelot", "b_camelot")
 
     def stats(track, start, end, duration, p):
-        w = h.select("set_id", "pos", (track % N_CURVES).alias("track_id"), start.alias("ws"), end.alias("we"), duration.alias("d")).join(n, "track_id")
+        w = h.select("set_id", "pos", (track % t.n_curves()).alias("track_id"), start.alias("ws"), end.alias("we"), duration.alias("d")).join(n, "track_id")
         first, last = C.ratio_window(_c("ws"), _c("we"), _c("d"), _c("n"))
         w = w.withColumn("i", F.explode(F.sequence(first, last - 1)))
         return w.join(ci.select("track_id", "i", "v"), ["track_id", "i"]).groupBy("set_id", "pos").agg(

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Folder of this process in local mode without the setting, which can't be changed once a session runs.
+_local_root: dict[str, str | None] = {}
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -52,8 +54,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="spark-segue-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+        root = _local_root.get("path") or tempfile.mkdtemp(prefix="spark-segue-")
+        _local_root["path"] = root
     return root
 
 

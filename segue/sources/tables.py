@@ -48,6 +48,10 @@ class Tables:
             .agg(F.round(F.avg("value"), 6).alias("level"), F.count(F.lit(1)).alias("n"))
         )
 
+    def n_curves(self) -> Column:
+        """Number of tracks that have a curve, as a scalar subquery: other keys fold onto them."""
+        return self.raw("events").agg(F.max("user_id") + 1).scalar()
+
     def ratings(self) -> DataFrame:
         return self.raw("lineitem").select(
             F.col("l_partkey").alias("source_id"),
