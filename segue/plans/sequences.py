@@ -14,59 +14,87 @@ from segue.plans.intent import PR, _pairs, start_preference
 from segue.plans.sets import SI, _items
 from segue.plans.structure import _segments, shortlist
 from segue.registry import query
+from segue.session import cut_lineage
 from segue.sources.tables import Tables
 
 _c = F.col
-WIDTH, STEPS, TARGET = 4, 3, 500.0
+#: Paths kept per request and tracks after the opener; both bound the state, whatever the pool.
+WIDTH, STEPS = 15, 7
 
 
 def _pool(t: Tables) -> DataFrame:
     return _pairs(t).join(t.tracks().select("track_id", *ops.TRACK), "track_id")
 
 
-def _openers(pool: DataFrame) -> DataFrame:
+def _openers(t: Tables, pool: DataFrame) -> DataFrame:
+    """The best openers of each request, with its own target duration."""
+    goals = t.requests().select("request_id", _c("target_duration_sec").alias("goal"))
     s = snap(start_preference(_c("mean_energy"), F.lit("steady")), 6)
     w = Window.partitionBy("request_id").orderBy(F.desc("start"), "track_id")
-    return pool.select("request_id", "track_id", s.alias("start")).withColumn("r", F.row_number().over(w)).where(_c("r") <= WIDTH).drop("r")
+    return pool.select("request_id", "track_id", s.alias("start")).withColumn("r", F.row_number().over(w)).where(_c("r") <= WIDTH).drop("r").join(goals, "request_id")
+
+
+def _ext_sql(b: str, x: str) -> str:
+    """Extensions of the paths in ``b``; with a prefix ``x``, tracks and edges of the first result cost extra."""
+    bad = f" - case when exists (select 1 from {x}used u where u.request_id = b.request_id and u.track_id = p.track_id) then 0.1::double else 0 end" if x else ""
+    edge = f" - case when exists (select 1 from {x}edges g where g.request_id = b.request_id and g.src = b.path[-1] and g.dst = p.track_id) then 0.18::double else 0 end" if x else ""
+    return f"""select b.request_id, b.goal, list_concat(b.path, [p.track_id]) as path, list_concat(b.en, [p.mean_energy]) as en,
+ b.score + least(1, greatest(0, {S.overall('b.a_', 'p.')}{edge})) + greatest(0, 1 - abs(p.mean_energy - b.a_mean_energy) * 2) * 0.1::double{bad} as score,
+ b.dur + p.duration_sec - least(16 * 240 / greatest((b.a_bpm + p.bpm) / 2, 60), p.duration_sec * 0.5::double) as dur,
+ p.bpm as a_bpm, p.camelot as a_camelot, p.mean_energy as a_mean_energy, p.spectral_centroid as a_spectral_centroid
+ from {b} b join pool p on p.request_id = b.request_id and not list_contains(b.path, p.track_id)"""
 
 
-_EXT = f"""select b.request_id, list_concat(b.path, [p.track_id]) as path, list_concat(b.en, [p.mean_energy]) as en, b.score + least(1, greatest(0, {S.overall('b.a_', 'p.')})) + greatest(0, 1 - abs(p.mean_energy - b.a_mean_energy) * 2) * 0.1::double as score,
- b.dur + p.duration_sec - least(16 * 240 / greatest((b.a_bpm + p.bpm) / 2, 60), p.duration_sec * 0.5::double) as dur, p.bpm as a_bpm, p.camelot as a_camelot, p.mean_energy as a_mean_energy, p.spectral_centroid as a_spectral_centroid from {{b}} b join pool p on p.request_id = b.request_id and not list_contains(b.path, p.track_id)"""
 _RANK = "row_number() over (partition by request_id order by round(score / len(path), 9) desc, array_to_string(path, ','))"
 
 
-def _beam_sql() -> str:
-    out = [PR, "pool as (select pr.request_id, t.* from pr join tracks t using (track_id))",
-           "op as (select *, round(0.5::double + (1 - abs(mean_energy - 0.5::double)) * 0.5::double + 1e-9, 6) as st from pool)",
-           f"o1 as (select *, row_number() over (partition by request_id order by st desc, track_id) as r from op)",
-           f"b0 as (select request_id, [track_id] as path, [mean_energy] as en, 0.35::double * st as score, duration_sec as dur, bpm as a_bpm, camelot as a_camelot, mean_energy as a_mean_energy, spectral_centroid as a_spectral_centroid from o1 where r <= {WIDTH})"]
+def _beam_sql(x: str = "") -> list[str]:
+    """One beam search as CTEs named with prefix ``x``; the result is ``{x}bs`` where rn = 1."""
+    fine = f" - case when exists (select 1 from {x}used u where u.request_id = o.request_id and u.track_id = o.track_id) then 0.14::double else 0 end" if x else ""
+    first = f"""{x}b0 as (select o.request_id, goal, [o.track_id] as path, [mean_energy] as en, 0.35::double * (st{fine}) as score, duration_sec as dur,
+ bpm as a_bpm, camelot as a_camelot, mean_energy as a_mean_energy, spectral_centroid as a_spectral_centroid from o1 o where r <= {WIDTH})"""
+    out = [first]
     for i in range(1, STEPS + 1):
-        out += [f"e{i} as ({_EXT.format(b=f'b{i - 1}')})", f"k{i} as (select * from (select *, {_RANK} as rk from e{i}) where rk <= {3 * WIDTH})",
-                f"b{i} as (select * exclude (rk, rk2) from (select *, {_RANK} as rk2 from k{i} where dur < {TARGET}) where rk2 <= {WIDTH})"]
-    fin = " union all ".join([f"select request_id, path, en, score, dur from k{i} where dur >= {TARGET}" for i in range(1, STEPS + 1)] + [f"select request_id, path, en, score, dur from b{STEPS}"])
-    out += [f"fin as ({fin})", f"""sc as (select *, 0.6::double * score / len(path) + 0.15::double * (1 - abs(dur - {TARGET}) / {TARGET}) + 0.25::double * case when len(path) < 3 then 0 else 0.15::double - 2 * list_aggregate(en, 'var_pop') end as k from fin),
-bs as (select *, row_number() over (partition by request_id order by round(k, 9) desc, array_to_string(path, ',')) as rn from sc)"""]
-    return ", " + ",\n".join(out) + " select request_id, array_to_string(path, ',') as path, round(score + 1e-9, 6) as score, round(dur + 1e-9, 6) as duration_sec from bs where rn = 1"
+        out += [f"{x}e{i} as ({_ext_sql(f'{x}b{i - 1}', x)})",
+                f"{x}k{i} as (select * from (select *, {_RANK} as rk from {x}e{i}) where rk <= {3 * WIDTH})",
+                f"{x}b{i} as (select * exclude (rk, rk2) from (select *, {_RANK} as rk2 from {x}k{i} where dur < goal) where rk2 <= {WIDTH})"]
+    ends = [f"select request_id, goal, path, en, score, dur from {x}k{i} where dur >= goal" for i in range(1, STEPS + 1)]
+    stuck = [f"select request_id, goal, path, en, score, dur from {x}b{i - 1} where request_id not in (select request_id from {x}k{i})" for i in range(1, STEPS + 1)]
+    fin = " union all ".join([*ends, *stuck, f"select request_id, goal, path, en, score, dur from {x}b{STEPS}"])
+    return [*out, f"{x}fin as ({fin})", f"""{x}sc as (select *, 0.6::double * score / len(path) + 0.15::double * (1 - abs(dur - goal) / goal)
+ + 0.25::double * case when len(path) < 3 then 0 else 0.15::double - 2 * list_aggregate(en, 'var_pop') end as k from {x}fin),
+{x}bs as (select *, row_number() over (partition by request_id order by round(k, 9) desc, array_to_string(path, ',')) as rn from {x}sc)"""]
+
+
+_BEAM = [PR, "pool as (select pr.request_id, r.target_duration_sec as goal, t.* from pr join tracks t using (track_id) join requests r using (request_id))",
+         "op as (select *, round(0.5::double + (1 - abs(mean_energy - 0.5::double)) * 0.5::double + 1e-9, 6) as st from pool)",
+         "o1 as (select *, row_number() over (partition by request_id order by st desc, track_id) as r from op)", *_beam_sql()]
+_PATH = "array_to_string(path, ',') as path, round(score + 1e-9, 6) as score, round(dur + 1e-9, 6) as duration_sec"
 
 
-@query("beam_sequences", "tracks", _beam_sql())
+@query("beam_sequences", "tracks requests", f", {', '.join(_BEAM)} select request_id, {_PATH} from bs where rn = 1")
 def beam_sequences(t: Tables) -> DataFrame:
     pool = _pool(t)
-    b = ops.beam_sequences(_openers(pool), pool, STEPS, WIDTH, TARGET)
+    b = ops.beam_sequences(_openers(t, pool), pool, STEPS, WIDTH)
     return b.select("request_id", F.concat_ws(",", "path").alias("path"), snap(_c("score"), 6).alias("score"), snap(_c("dur"), 6).alias("duration_sec"))
 
 
-@query("sequence_regenerate")
+_AGAIN = [*_BEAM, "zused as (select request_id, unnest(path) as track_id from bs where rn = 1)",
+          "zedges as (select request_id, path[i] as src, path[i + 1] as dst from bs, lateral (select unnest(range(1, len(path))) as i) where rn = 1)", *_beam_sql("z")]
+
+
+@query("sequence_regenerate", "tracks requests", f", {', '.join(_AGAIN)} select request_id, {_PATH} from zbs where rn = 1")
 def sequence_regenerate(t: Tables) -> DataFrame:
     """Search again with the previous result's tracks and edges penalised."""
     pool = _pool(t)
-    first = ops.beam_sequences(_openers(pool), pool, STEPS, WIDTH, TARGET)
+    first = cut_lineage(ops.beam_sequences(_openers(t, pool), pool, STEPS, WIDTH))
     used = first.select("request_id", F.explode("path").alias("track_id"))
-    edges = first.select("request_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))).alias("e")).select("request_id", "e.src", "e.dst")
+    steps = F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda src, i: F.struct(src.alias("src"), F.get("path", i + 1).alias("dst")))
+    edges = first.select("request_id", F.inline(steps))
     penalty = used.withColumn("bad", F.lit(0.14))
-    openers = _openers(pool).join(penalty, ["request_id", "track_id"], "left").withColumn("start", _c("start") - F.coalesce("bad", F.lit(0.0))).drop("bad")
-    b = ops.beam_sequences(openers, pool, STEPS, WIDTH, TARGET, avoid_tracks=used, avoid_edges=edges)
-    return b.select("request_id", F.concat_ws(",", "path").alias("path"), r6(_c("score")).alias("score"), r6(_c("dur")).alias("duration_sec"))
+    openers = _openers(t, pool).join(penalty, ["request_id", "track_id"], "left").withColumn("start", _c("start") - F.coalesce("bad", F.lit(0.0))).drop("bad")
+    b = ops.beam_sequences(openers, pool, STEPS, WIDTH, avoid_tracks=used, avoid_edges=edges)
+    return b.select("request_id", F.concat_ws(",", "path").alias("path"), snap(_c("score"), 6).alias("score"), snap(_c("dur"), 6).alias("duration_sec"))
 
 
 def _request_segments(t: Tables) -> DataFrame:

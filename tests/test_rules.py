@@ -165,3 +165,29 @@ def test_running_max_is_independent_of_bins(spark):
     df = spark.createDataFrame(rows, "mix_id long, track_id long, out_start long, out_end long, src_start long, src_end long, tie long")
     res = [sorted(tuple(r) for r in timeline_gaps(df, w).collect()) for w in (7, 1000)]
     assert res[0] == res[1] and res[0]
+
+
+def test_sequence_builders_keep_every_request(spark):
+    """Requests with pools of six, two and one tracks, and one without an option for a role."""
+    from segue.operators import sequences as seq
+
+    rows = [(r, r * 10 + i, 120.0 + i, "8A", 0.5, 1500.0, 200.0) for r, n in ((1, 6), (2, 2), (3, 1)) for i in range(n)]
+    pool = spark.createDataFrame(rows, "request_id long, track_id long, bpm double, camelot string, mean_energy double, spectral_centroid double, duration_sec double")
+    openers = pool.select("request_id", "track_id", F.lit(1.0).alias("start"), F.lit(900.0).alias("goal"))
+    got = {r.request_id: len(r.path) for r in seq.beam_sequences(openers, pool, 7, 4).collect()}
+    assert got == {1: 6, 2: 2, 3: 1}
+    parts = pool.select("request_id", "track_id", F.col("track_id").cast("string").alias("segment_id"), F.lit(0.0).alias("s"), F.lit(30.0).alias("e"), F.lit("intro").alias("role"), F.lit(0.7).alias("quality"), F.col("mean_energy").alias("energy"))
+    got = {r.request_id: len(r.used) for r in seq.greedy_segments(parts.select("request_id").distinct(), parts, 3).collect()}
+    assert got == {1: 3, 2: 2, 3: 1}
+    options = parts.select("request_id", F.explode(F.array(F.lit("INTRO"), F.lit("PEAK"))).alias("role"), "track_id", "segment_id", F.lit(0.5).alias("score")).where("not (request_id = 3 and role = 'PEAK')")
+    got = {r.request_id: len(r.path) for r in seq.role_beam(parts.select("request_id").distinct(), options, ["INTRO", "PEAK"], 4).collect()}
+    assert got == {1: 2, 2: 2, 3: 1}
+
+
+def test_curve_keys_follow_the_data(spark, tmp_path):
+    from segue.sources.tables import Tables
+
+    for n in (3, 5):
+        spark.createDataFrame([(i,) for i in range(n)], "user_id long").write.parquet(str(tmp_path / str(n) / "events.parquet"))
+        t = Tables(spark, str(tmp_path / str(n)))
+        assert [r.k for r in spark.range(10).select((F.col("id") % t.n_curves()).alias("k")).collect()] == [i % n for i in range(10)]
