@@ -100,124 +100,155 @@ def _rank(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
-def _settled(ranked: DataFrame, k: int) -> DataFrame:
-    """Sources with ``k`` partners above everything their block leaves out."""
-    return ranked.groupBy("src").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == k).select("src")
+#: Bits of what is known of a track; unknown parts score one constant with every partner.
+TEMPO, KEY, BRIGHT = 1, 2, 4
 
 
-def _sides(tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sources and targets; the key position is worked out once per track, not per pair."""
-    t = tracks.withColumn("w", P.key_position(F.col("camelot")))
-    cols = [*FEATURES, "w"]
-    a = t.select(F.col("track_id").alias("src"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = t.select(F.col("track_id").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    return a, b
+def _known() -> Column:
+    flag = lambda c, bit: F.when(c, bit).otherwise(0)
+    return flag(F.col("bpm") > 0, TEMPO) + flag(F.col("w") < 24, KEY) + flag(F.col("spectral_centroid") > 0, BRIGHT)
+
+
+def _has(bits: Column, bit: int) -> Column:
+    return bits.bitwiseAND(bit) > 0
+
+
+def _best_possible(bits: Column) -> Column:
+    """Score that no partner of a track with these known parts can exceed."""
+    part = lambda bit: F.when(_has(bits, bit), 1.0).otherwise(0.5)
+    return P.acoustic_score(part(TEMPO), part(KEY), F.lit(1.0), part(BRIGHT))
 
 
 def _score(pairs: DataFrame) -> DataFrame:
     a_bpm, b_bpm = F.col("a_bpm"), F.col("b_bpm")
-    p = pairs.where(F.col("src") != F.col("dst")).select(
-        "src", "dst", a_bpm, b_bpm, P.tempo_gap(a_bpm, b_bpm).alias("gap"),
+    p = pairs.select(
+        "src", "dst", "a_top", a_bpm, b_bpm, P.tempo_gap(a_bpm, b_bpm).alias("gap"),
         P.key_score_at(F.col("a_w"), F.col("b_w")).alias("key"),
         P.energy_score(F.col("a_mean_energy"), F.col("b_mean_energy")).alias("energy"),
         P.spectral_score(F.col("a_spectral_centroid"), F.col("b_spectral_centroid")).alias("spectral"))
     tempo = F.when((a_bpm <= 0) | (b_bpm <= 0), 0.5).otherwise(P.tempo_from_gap(F.col("gap")))
-    return p.select("src", "dst", snap(P.acoustic_score(tempo, F.col("key"), F.col("energy"), F.col("spectral"))).alias("overall"))
+    return p.select("src", "dst", "a_top", snap(P.acoustic_score(tempo, F.col("key"), F.col("energy"), F.col("spectral"))).alias("overall"))
+
+
+def _tempo_bin(bpm: Column, folds: int) -> Column:
+    return F.when(bpm > 0, _fold(_octave(bpm), folds)).otherwise(-1)
 
 
 def _block(a: DataFrame, b: DataFrame, folds: int, width: float) -> DataFrame:
-    """Adjacent key, tempo within one of ``folds`` octave bins, energy within one bin of ``width``."""
-    energy = lambda p: F.floor(F.col(f"{p}_mean_energy") / width).cast("int")
+    """Adjacent key, tempo within one of ``folds`` octave bins, energy within one bin of ``width``.
+
+    A source of unknown key or tempo takes every key or tempo bin instead.
+    """
+    energy = lambda p: F.floor(F.greatest(F.col(f"{p}_mean_energy"), F.lit(0.0)) / width).cast("int")
+    any_key = F.array(*map(F.lit, range(26)))
+    any_tempo = F.array(*map(F.lit, range(-1, folds)))
     left = (
-        a.withColumn("b_camelot", F.explode(_near_codes(F.col("a_camelot"))))
-        .withColumn("t", F.explode(_near_fold(_octave(F.col("a_bpm")), folds, 1)))
+        a.withColumn("b_w", F.explode(F.when(_has(F.col("a_known"), KEY), F.transform(_near_codes(F.col("a_camelot")), P.key_position)).otherwise(any_key)))
+        .withColumn("t", F.explode(F.when(_has(F.col("a_known"), TEMPO), _near_fold(_octave(F.col("a_bpm")), folds, 1)).otherwise(any_tempo)))
         .withColumn("e", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: energy("a") + i)))
     )
-    right = b.select("*", _fold(_octave(F.col("b_bpm")), folds).alias("t"), energy("b").alias("e"))
-    return left.join(right, ["b_camelot", "t", "e"])
-
+    right = b.select("*", _tempo_bin(F.col("b_bpm"), folds).alias("t"), energy("b").alias("e"))
+    return left.join(right, ["b_w", "t", "e"])
 
-def _tight(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Tempo gap up to 5 %, energy within 0.2. Anything outside scores at most 0.96."""
-    return _block(a, b, 11, 0.2)
 
+def _plateau(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """Pairs for sources in dense cells, where the k best partners all score what is possible at best.
 
-def _near(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Tempo gap up to 8 %, energy within 0.3. Anything outside scores at most 0.91."""
-    return _block(a, b, 8, 0.3)
-
-
-def _tempo_only(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Tempo gap up to 8 %. Anything outside scores below 0.8."""
-    left = a.select("*", F.explode(_near_fold(_octave(F.col("a_bpm")), 8, 1)).alias("t"))
-    return left.join(b.select("*", _fold(_octave(F.col("b_bpm")), 8).alias("t")), "t")
-
-
-def _plateau(tracks: DataFrame, k: int) -> DataFrame:
-    """Pairs for tracks in dense cells, where the k best partners all score 1.0.
-
-    Tracks of one fine cell score 1.0 with each other, so a cell with more than k
-    members proves that its tracks' best k partners score 1.0 and have ids no
-    greater than the cell's (k+1)-th smallest id. Only tracks at or below that
-    id, in cells close enough to reach 1.0, can matter; the join emits about k
-    of them per neighbouring cell instead of every pair of a dense region.
+    A source ignores the parts it doesn't know, so a cell is taken by its known parts alone. Tracks of
+    one fine cell reach the best possible score with each other; a cell of at least k tracks therefore
+    proves that the best k ids are no greater than its k-th smallest id. Only ids up to that, in cells
+    close enough to reach that score, can matter: about k of them per neighbouring cell.
     """
     n_t, w_e, w_s = 70, 0.05, math.log(1 / 0.85) / 2
-    cell = tracks.where((F.col("bpm") > 0) & (F.col("spectral_centroid") > 0) & (F.length("camelot") >= 2)).select(
-        "track_id", *FEATURES,
-        _fold(_octave(F.col("bpm")), n_t).alias("ct"),
-        F.floor(F.col("mean_energy") / w_e).cast("int").alias("ce"),
-        F.floor(F.log("spectral_centroid") / w_s).cast("int").alias("cs"),
-    )
-    keys = ["camelot", "ct", "ce", "cs"]
-    first = cell.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("track_id"))).where(F.col("rn") <= k + 1)
-    bounds = first.groupBy(*keys).agg(F.max("track_id").alias("bound"), F.count(F.lit(1)).alias("c")).where(F.col("c") == k + 1)
+    keys = ["m", "cw", "ct", "ce", "cs"]
+
+    def cells(df: DataFrame, p: str, m: Column) -> DataFrame:
+        c = lambda n: F.col(f"{p}_{n}")
+        return df.withColumns({
+            "m": m, "cw": F.when(_has(F.col("m") if p == "b" else m, KEY), c("w")).otherwise(-1),
+            "ct": F.when(_has(F.col("m") if p == "b" else m, TEMPO), _fold(_octave(c("bpm")), n_t)).otherwise(-1),
+            "ce": F.floor(c("mean_energy") / w_e).cast("int"),
+            "cs": F.when(_has(F.col("m") if p == "b" else m, BRIGHT), F.floor(F.log(c("spectral_centroid")) / w_s).cast("int")).otherwise(-99)})
+
+    home = cells(a, "a", F.col("a_known"))
+    modes = home.select("m").distinct()
+    offered = b.withColumn("m", F.explode(F.array(*map(F.lit, range(8))))).where(F.col("b_known").bitwiseAND(F.col("m")) == F.col("m"))
+    offered = cells(offered.join(modes, "m", "left_semi"), "b", F.col("m"))
+    first = offered.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("dst"))).where(F.col("rn") <= k)
+    bounds = first.groupBy(*keys).agg(F.max("dst").alias("bound"), F.count(F.lit(1)).alias("c")).where(F.col("c") == k)
     around = lambda c, r: F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda i: F.col(c) + i)
+    ring = F.array_distinct(F.transform(around("ct", 3), lambda v: (v % n_t + n_t) % n_t))
     reach = (
-        bounds.select(*[F.col(c).alias(f"home_{c}") for c in keys], "bound", "camelot",
-                      F.explode(F.array_distinct(F.transform(around("ct", 3), lambda v: (v % n_t + n_t) % n_t))).alias("ct"), "ce", "cs")
+        bounds.select(*[F.col(c).alias(f"home_{c}") for c in keys], "bound", "m", "cw", F.explode(F.when(F.col("ct") < 0, F.array("ct")).otherwise(ring)).alias("ct"), "ce", "cs")
         .withColumn("ce", F.explode(around("ce", 2)))
-        .withColumn("cs", F.explode(around("cs", 3)))
-    )
-    candidates = reach.join(cell, keys).where(F.col("track_id") <= F.col("bound")).select(
-        *[F.col(f"home_{c}").alias(c) for c in keys], F.col("track_id").alias("dst"),
-        *[F.col(c).alias(f"b_{c}") for c in FEATURES if c != "camelot"], F.col("camelot").alias("b_camelot"),
+        .withColumn("cs", F.explode(F.when(F.col("cs") == -99, F.array("cs")).otherwise(around("cs", 3))))
     )
-    home = cell.select(*keys, F.col("track_id").alias("src"), F.col("bpm").alias("a_bpm"), F.col("camelot").alias("a_camelot"),
-                       F.col("mean_energy").alias("a_mean_energy"), F.col("spectral_centroid").alias("a_spectral_centroid"))
-    # Cells share the key, so one position serves both sides.
-    w = P.key_position(F.col("a_camelot"))
-    return home.join(candidates, keys).drop("ct", "ce", "cs", "camelot").withColumn("a_w", w).withColumn("b_w", w)
+    candidates = reach.join(offered, keys).where(F.col("dst") <= F.col("bound")).select(*[F.col(f"home_{c}").alias(c) for c in keys], *b.columns)
+    return home.join(candidates, keys).select(*a.columns, *b.columns)
 
 
-def pair_topk(tracks: DataFrame, k: int = 5, dense_from: int = 100_000) -> DataFrame:
+def _coarse(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """Pairs for what no block settles: sources of sparse regions, a number bounded by the number of cells.
+
+    Tracks are counted in coarse cells of tempo, key and energy, whose number doesn't grow with the
+    catalog. For each cell of a source, the least scores of the other cells tell how good k partners
+    are at least; cells whose greatest score stays below that are left out.
+    """
+    folds, width = 8, 0.3
+    slot = lambda p: [F.col(f"{p}_w").alias(f"{p}w"), _tempo_bin(F.col(f"{p}_bpm"), folds).alias(f"{p}t"), F.floor(F.greatest(F.col(f"{p}_mean_energy"), F.lit(0.0)) / width).cast("int").alias(f"{p}e")]
+    theirs = b.select("*", *slot("b"))
+    size = theirs.groupBy("bw", "bt", "be").agg(F.count(F.lit(1)).alias("n"))
+    own = a.select("*", *slot("a"))
+    pairs = own.select("aw", "at", "ae").distinct().withColumn("bw", F.explode(F.array(*map(F.lit, range(26))))).join(size, "bw")
+    turn = F.abs(F.col("at") - F.col("bt"))
+    turn = F.least(turn, folds - turn)
+    unknown = (F.col("at") < 0) | (F.col("bt") < 0)
+    hill = F.abs(F.col("ae") - F.col("be"))
+    key = P.key_score_at(F.col("aw"), F.col("bw"))
+    most = P.acoustic_score(F.when(unknown, 0.5).when(turn <= 1, 1.0).otherwise(0.5), key, F.when(hill <= 1, 1.0).when(hill == 2, 0.8).otherwise(0.8), F.lit(1.0))
+    least = P.acoustic_score(F.when(unknown, 0.5).when(turn == 0, 0.4).otherwise(0.0), key, F.when(hill == 0, 0.7).otherwise(0.0), F.lit(0.2))
+    enough = Window.partitionBy("aw", "at", "ae").orderBy(F.desc("least"), "bw", "bt", "be").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("aw", "at", "ae")
+    pairs = pairs.select("aw", "at", "ae", "bw", "bt", "be", "n", most.alias("most"), least.alias("least")).withColumn("so_far", F.sum("n").over(enough))
+    pairs = pairs.withColumn("floor", F.coalesce(F.max(F.when(F.col("so_far") >= k, F.col("least"))).over(whole), F.lit(0.0)))
+    chosen = pairs.where(F.col("most") >= F.col("floor") - 0.001).select("aw", "at", "ae", "bw", "bt", "be")
+    return own.join(chosen, ["aw", "at", "ae"]).join(theirs, ["bw", "bt", "be"]).select(*a.columns, *b.columns)
+
+
+def pair_topk(tracks: DataFrame, k: int = 5) -> DataFrame:
     """The k best partners of every track, ties by id; equal to ranking the full matrix.
 
-    Blocks are searched from tight to wide. A track is settled as soon as its k-th
-    partner scores above everything its block leaves out, and only unsettled tracks
-    go on, so the result is exact while the work stays near-linear in dense catalogs.
+    Tracks with equal features are ranked once, against the k + 1 smallest ids of each set of equal
+    features: more of them can't be among the best. Then blocks are searched from tight to wide. A
+    source is settled as soon as its last partner scores above everything its block leaves out, and
+    only unsettled sources go on. The same levels run for catalogs of any size.
     """
     tracks = tracks.select("track_id", *FEATURES)
-    a, b = _sides(tracks)
+    need = k + 1
+    same = Window.partitionBy(*FEATURES).orderBy("track_id")
+    first = tracks.withColumn("rn", F.row_number().over(same)).where(F.col("rn") <= need).drop("rn")
+    first = cut_lineage(first.withColumn("w", P.key_position(F.col("camelot"))).withColumn("known", _known()))
+    kinds = first.groupBy(*FEATURES, "w", "known").agg(F.min("track_id").alias("src"))
+    cols = [*FEATURES, "w", "known"]
+    a = kinds.select("src", *[F.col(c).alias(f"a_{c}") for c in cols]).withColumn("a_top", _best_possible(F.col("a_known")))
+    b = first.select(F.col("track_id").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    # Outside the tight block tempo loses 0.04, outside the next one key loses 0.09.
+    levels = [(lambda s: _plateau(s, b, need), 0.001), (lambda s: _block(s, b, 11, 0.2), 0.04), (lambda s: _block(s, b, 8, 0.3), 0.09)]
     done: list[DataFrame] = []
-    levels = [(lambda s: _near(s, b), 0.91), (lambda s: _tempo_only(s, b), 0.8)]
-    if tracks.count() >= dense_from:
-        levels = [(lambda s: _plateau(tracks, k), 0.999), (lambda s: _tight(s, b), 0.96), *levels]
     rest = a
-    for block, bound in levels:
+    for block, lost in levels:
         # Only scores above the bound can settle a source, so the rest is dropped before ranking.
-        ranked = cut_lineage(_rank(_score(block(rest)).where(F.col("overall") > bound), k))
-        settled = _settled(ranked, k)
+        ranked = cut_lineage(_rank(_score(block(rest)).where(F.col("overall") > snap(F.col("a_top")) - lost), need))
+        settled = ranked.groupBy("src").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == need).select("src")
         done.append(ranked.join(settled, "src", "left_semi"))
-        rest = rest.join(settled, "src", "left_anti")
-        if rest.isEmpty():
-            break
-    else:
-        done.append(_rank(_score(rest.crossJoin(b)), k))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("src", "dst", "rank", "overall")
+        rest = cut_lineage(rest.join(settled, "src", "left_anti"))
+    best = _rank(_score(_coarse(rest, b, need)), need)
+    for d in done:
+        best = best.unionByName(d)
+    best = best.select("src", "dst", "overall")
+    on = [tracks[c].eqNullSafe(kinds[c]) for c in FEATURES]
+    each = tracks.join(kinds, on).select("track_id", "src").join(best, "src").where(F.col("track_id") != F.col("dst"))
+    return _rank(each.select(F.col("track_id").alias("src"), "dst", "overall"), k).select("src", "dst", "rank", "overall")
 
 
 def avoid_penalty(items: DataFrame, avoid_tracks: DataFrame, avoid_edges: DataFrame) -> DataFrame:

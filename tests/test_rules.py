@@ -65,6 +65,8 @@ def test_nearest_matches_brute_force_with_ties(spark):
 
 def _py_score(a, b):
     def tempo(x, y):
+        if x <= 0 or y <= 0:
+            return 0.5
         d = min(abs(x - y) / x, abs(2 * x - y) / (2 * x), abs(x - 2 * y) / (2 * y))
         for lim, v in ((0.02, 1.0), (0.05, 0.9)):
             if d <= lim:
@@ -74,6 +76,10 @@ def _py_score(a, b):
         return 0.5 - (d - 0.08) * (0.4 / 0.07) if d <= 0.15 else max(0.05, 0.1 - (d - 0.15) / 2)
 
     def key(x, y):
+        if not x or not y:
+            return 0.5
+        if "zz" in (x, y):
+            return 0.05
         i, j = ((int(c[:-1]) - 1) * 2 + (c[-1] == "B") for c in (x, y))
         return {0: 1.0, 1: 0.9, 2: 0.7, 3: 0.5, 4: 0.3, 5: 0.15, 6: 0.05}[P._hour_distance(i, j)]
 
@@ -81,26 +87,30 @@ def _py_score(a, b):
         return next((v for t, v in rungs if d < t), rest)
 
     e = step(abs(a[3] - b[3]), ((0.1, 1.0), (0.2, 0.85), (0.3, 0.7), (0.5, 0.5)), max(0.2, 1 - abs(a[3] - b[3])))
-    r = min(a[4], b[4]) / max(a[4], b[4])
-    s = 1.0 if r > 0.85 else 0.8 if r > 0.7 else 0.6 if r > 0.5 else max(0.2, r)
+    if a[3] <= 0 and b[3] <= 0:
+        e = 0.8
+    r = min(a[4], b[4]) / max(a[4], b[4], 1e-9)
+    s = 0.5 if min(a[4], b[4]) <= 0 else 1.0 if r > 0.85 else 0.8 if r > 0.7 else 0.6 if r > 0.5 else max(0.2, r)
     return int((0.4 * tempo(a[1], b[1]) + 0.3 * key(a[2], b[2]) + 0.2 * e + 0.1 * s + 1e-9) * 1000 + 0.5) / 1000
 
 
-@pytest.mark.parametrize("dense_from", [0, 10**9])
-def test_pair_topk_equals_full_ranking_with_a_hot_group(spark, dense_from):
-    """A third of the tracks share one feature vector; dense and sparse paths agree with brute force."""
+@pytest.mark.parametrize("n", [3, 150])
+def test_pair_topk_equals_full_ranking_with_a_hot_group(spark, n):
+    """A third of the tracks share one feature vector; others lack tempo, key, brightness or energy."""
     rng = random.Random(11)
     rows = []
-    for i in range(150):
+    for i in range(n):
         if i % 3 == 0:
             rows.append((i, 120.0, "8A", 0.5, 1500.0))
         elif i % 3 == 1:
             rows.append((i, 120.0 + rng.uniform(-1, 1), "8A", 0.5 + rng.uniform(-0.02, 0.02), 1500.0 + rng.uniform(-20, 20)))
         else:
             rows.append((i, rng.uniform(60, 180), f"{rng.randint(1, 12)}{rng.choice('AB')}", rng.random(), rng.uniform(500, 4000)))
+    for i in range(n, n + n // 3):
+        rows.append((i, rng.choice([0.0, 120.0, 121.0]), rng.choice(["", "8A", "zz", "8A"]), rng.choice([0.0, 0.5, 0.52]), rng.choice([0.0, 1500.0, 1520.0])))
     df = spark.createDataFrame(rows, "track_id long, bpm double, camelot string, mean_energy double, spectral_centroid double")
     got = {}
-    for r in pairs.pair_topk(df, 3, dense_from).collect():
+    for r in pairs.pair_topk(df, 3).collect():
         got.setdefault(r.src, []).append((r["rank"], r.dst, r.overall))
     for a in rows:
         want = sorted(((-_py_score(a, b), b[0]) for b in rows if b[0] != a[0]))[:3]
