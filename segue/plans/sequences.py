@@ -232,15 +232,19 @@ def appearance_count(t: Tables) -> DataFrame:
 
 @query("technique_rank")
 def technique_rank(t: Tables) -> DataFrame:
-    """Top technique of each handoff, under the boundary role of its position."""
+    """Technique of each handoff, under the boundary role of its position and the set's budget."""
     from segue.plans.sets import boundary_role
 
     role = boundary_role(t).select("set_id", "pos", "role")
-    p = t.handoff_pairs().join(role, ["set_id", "pos"])
+    total = t.sets().select("set_id", "total_duration_sec")
+    p = t.handoff_pairs().join(role, ["set_id", "pos"]).join(total, "set_id").withColumn("style", F.expr(_AV.format(x="set_id")))
+    decision = F.when(_c("src") % 3 == 0, "VARIATE").when(_c("src") % 3 == 1, "SWITCH").otherwise("CALLBACK")
     d = p.select(
-        "set_id", "pos", "role", _c("transition_type").alias("kind"), P.relative_gap(_c("a_bpm"), _c("b_bpm")).alias("gap"), P.tempo_score(_c("a_bpm"), _c("b_bpm")).alias("rhythm"), P.key_score(_c("a_camelot"), _c("b_camelot")).alias("harmonic"),
-        (1 - (_c("src") % 10) / 30).alias("downbeat"), (1 - (_c("dst") % 10) / 30).alias("phrase"), P.energy_score(_c("a_mean_energy"), _c("b_mean_energy")).alias("local"), _c("a_low_energy").alias("a_bass"), _c("b_low_energy").alias("b_bass"),
-        (_c("b_mean_energy") - _c("a_mean_energy") > 0.1).alias("lift"), (_c("a_mid_energy") >= 0.55).alias("a_dense"), (_c("b_mid_energy") >= 0.55).alias("b_dense"), F.expr(_AV.format(x="set_id")).alias("style"),
-        _c("role").isin("BUILD", "REVEAL").alias("payoff"), (2 - _c("pos")).alias("strong_left"), F.lit("").alias("recent"))
-    d = ops.technique_rank(d)
-    return d.select("set_id", "pos", "role", _c("best.name").alias("technique"), _c("best.tier").alias("tier"), r6(_c("best.s")).alias("score"))
+        "set_id", "pos", "role", "style", _c("transition_type").alias("kind"), ops.strong_budget(_c("total_duration_sec"), _c("style")).alias("budget"),
+        P.relative_gap(_c("a_bpm"), _c("b_bpm")).alias("gap"), P.tempo_score(_c("a_bpm"), _c("b_bpm")).alias("rhythm"), P.key_score(_c("a_camelot"), _c("b_camelot")).alias("harmonic"),
+        (1 - (_c("src") % 10) / 30).alias("downbeat"), (1 - (_c("dst") % 10) / 30).alias("phrase"), P.energy_score(_c("a_mean_energy"), _c("b_mean_energy")).alias("local"),
+        _c("a_low_energy").alias("a_bass"), _c("b_low_energy").alias("b_bass"), (_c("b_mean_energy") - _c("a_mean_energy") > 0.1).alias("lift"),
+        (_c("a_mid_energy") >= 0.55).alias("a_dense"), (_c("b_mid_energy") >= 0.55).alias("b_dense"), (_c("src") == _c("dst")).alias("same_track"),
+        ((_c("a_low_energy") > 0.3) & (_c("b_low_energy") > 0.3)).alias("stems"), decision.alias("decision"), _c("role").isin("BUILD", "REVEAL").alias("payoff"),
+        (_c("dst") % 2 == 0).alias("groove"), (_c("dst") % 5 == 0).alias("clearance"), (_c("src") % 7 != 0).alias("allow_strong"))
+    return ops.technique_rank(d).join(role, ["set_id", "pos"]).select("set_id", "pos", "role", "technique", "tier", r6(_c("score")).alias("score"))
