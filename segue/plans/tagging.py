@@ -22,9 +22,20 @@ def _first(words):
     return "case " + " ".join(f"when contains(t, '{w}') then '{v}'" for w, v in words.items()) + " end"
 
 
-def _avoid(words, x):
-    neg = "(?:no|avoid|without|never" + x + ")\\s+(?:\\w+\\s+){0,2}"
-    return "list_distinct(list_filter([" + ", ".join(f"case when regexp_matches(t, '{neg}{w}') then '{v}' end" for w, v in words.items()) + "], lambda z: z is not null))"
+def _sql(value):
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else f"{value}::double"
+
+
+def _avoid(words, negation):
+    return "list_distinct(list_filter([" + ", ".join(f"case when regexp_matches(t, {_sql(ops.negated(negation, w))}) then '{v}' end" for w, v in words.items()) + "], lambda z: z is not null))"
+
+
+def _steps(rungs, rest):
+    return "case " + " ".join(f"when not exact and regexp_matches(t, {_sql(p)}) then {_sql(v)}" for p, v in rungs) + f" else {_sql(rest)} end"
+
+
+def _path(paths):
+    return "case " + " ".join(f"when not exact and regexp_matches(t, {_sql(ops.change_of(a, b))}) then '{','.join(p)}'" for a, b, p in paths) + " else '' end"
 
 
 def _found(words):
@@ -35,24 +46,38 @@ def _preset(i):
     return "case preset " + " ".join(f"when '{k}' then " + (f"'{v[i]}'" if isinstance(v[i], str) else f"{v[i]}::double") for k, v in PRESETS.items() if v[i] is not None) + " end"
 
 
-_J = "array_to_string(list_sort(list_filter({f}, lambda z: not list_contains({a}, z))), ',')"
-_BPM, _DUR = ops.BPM, ops.DURATION
+_J = "case when exact then '' else array_to_string(list_sort(list_filter({f}, lambda z: not list_contains({a}, z))), ',') end"
+_F = "case when exact then '' else array_to_string(list_sort({f}), ',') end"
+_LISTS = [("moods", ops.MOOD_WORDS, ops.NOT_MOOD), ("themes", ops.THEME_WORDS, ops.NOT_THEME), ("lyrical_moods", ops.LYRICAL_WORDS, ops.NOT_THEME)]
+_FREE = "case when not exact then {x} end"
+
+
+def _word(words):
+    return _FREE.format(x=_first(words))
+
+
+_TAG = f"""with r as (select c_custkey as request_id, lower(trim({_TXT})) as t from customer),
+q as (select *, t in ({', '.join(f"'{k}'" for k in PRESETS)}) as exact, {_first(ops.LEVEL_WORDS)} as lvl,
+ regexp_extract(t, '{ops.BPM}', 1) as b1, regexp_extract(t, '{ops.BPM}', 2) as b2, regexp_extract(t, '{ops.DURATION}', 1) as d1, regexp_extract(t, '{ops.DURATION}', 2) as d2,
+ {', '.join(f"{_found(w)} as f_{n}, {_avoid(w, neg)} as a_{n}" for n, w, neg in _LISTS)}, {_found(ops.ACTIVITY_WORDS)} as f_activity from r),
+p as (select *, case when exact then t else {_first(ops.PRESET_WORDS)} end as preset, {_path(ops.MOOD_PATHS)} as mood_trajectory, {_path(ops.MEANING_PATHS)} as meaning_trajectory from q)
+select request_id, preset, coalesce({_word(ops.PROFILE_WORDS)}, {_preset(0)}, case when mood_trajectory <> '' then 'slow_build' end) as energy_profile,
+ coalesce({_word(ops.STYLE_WORDS)}, {_preset(1)}) as transition_style, coalesce({_word(ops.VOCAL_WORDS)}, {_preset(2)}) as vocal_preference, coalesce({_word(ops.LENGTH_WORDS)}, {_preset(8)}) as transition_length,
+ coalesce(case when exact then null when lvl = 'low' then 0.0::double when lvl = 'medium' then 0.3::double when lvl = 'high' then 0.6::double end, {_preset(6)}) as energy_min,
+ coalesce(case when exact then null when lvl = 'low' then 0.35::double when lvl = 'medium' then 0.65::double when lvl = 'high' then 1.0::double end, {_preset(7)}) as energy_max,
+ case when b1 <> '' and not exact then case when b2 <> '' then try_cast(b1 as double) else greatest(0, try_cast(b1 as double) - 5) end else {_preset(4)} end as bpm_min,
+ case when b1 <> '' and not exact then case when b2 <> '' then try_cast(b2 as double) else try_cast(b1 as double) + 10 end else {_preset(5)} end as bpm_max,
+ coalesce(case when not exact then try_cast(d1 as double) * case when d2 = 'h' then 3600 else 60 end end, {_preset(3)}, 1800.0::double) as target_duration_sec,
+ true as avoid_key_clash, not exact and contains(t, 'harmonic') as prefer_harmonic, case when not exact and contains(t, 'stem') then true end as prefer_stems,
+ {', '.join(f"{_J.format(f=f'f_{n}', a=f'a_{n}')} as desired_{n}, {_F.format(f=f'a_{n}')} as avoid_{n}" for n, _, _ in _LISTS)}, {_F.format(f='f_activity')} as desired_activity,
+ mood_trajectory, meaning_trajectory, {', '.join(f"{_steps(rungs, rest)} as {n}" for n, rungs, rest in ops.WISHES)} from p"""
 
 
-@query("request_tag", "", f"""with r as (select c_custkey as request_id, lower({_TXT}) as t from customer), p as (select *, {_first(ops.PRESET_WORDS)} as preset, regexp_extract(t, '{_BPM}', 1) as b1, regexp_extract(t, '{_BPM}', 2) as b2, regexp_extract(t, '{_DUR}', 1) as d1, regexp_extract(t, '{_DUR}', 0) as d0, {_first(ops.LEVEL_WORDS)} as lvl,
- regexp_matches(t, '(?:melancholic|sad|dark).*?(?:become|turn|get|grow|move).*?(?:hopeful|happy|euphoric)') as tr, {_avoid(ops.MOOD_WORDS, '')} as am, {_avoid(ops.THEME_WORDS, '|exclude')} as ath, {_avoid(ops.ACTIVITY_WORDS, '')} as aa, {_found(ops.MOOD_WORDS)} as fm, {_found(ops.THEME_WORDS)} as ft, {_found(ops.ACTIVITY_WORDS)} as fa from r)
-select request_id, preset, coalesce({_first(ops.PROFILE_WORDS)}, {_preset(0)}, case when tr then 'slow_build' end) as energy_profile, coalesce({_first(ops.STYLE_WORDS)}, {_preset(1)}) as transition_style, coalesce({_first(ops.VOCAL_WORDS)}, {_preset(2)}) as vocal_preference, coalesce({_first(ops.LENGTH_WORDS)}, {_preset(8)}) as transition_length,
- coalesce(case lvl when 'low' then 0.0::double when 'medium' then 0.3::double when 'high' then 0.6::double end, {_preset(6)}) as energy_min, coalesce(case lvl when 'low' then 0.35::double when 'medium' then 0.65::double when 'high' then 1.0::double end, {_preset(7)}) as energy_max,
- case when b1 <> '' then case when b2 <> '' then try_cast(b1 as double) else greatest(0, try_cast(b1 as double) - 5) end else {_preset(4)} end as bpm_min, case when b1 <> '' then case when b2 <> '' then try_cast(b2 as double) else try_cast(b1 as double) + 10 end else {_preset(5)} end as bpm_max,
- coalesce(try_cast(d1 as double) * case when contains(d0, 'hour') or d0 like '%h' then 3600 else 60 end, {_preset(3)}, 1800.0::double) as target_duration_sec, {_J.format(f='fm', a='am')} as desired_moods, array_to_string(list_sort(am), ',') as avoid_moods, {_J.format(f='fa', a='aa')} as desired_activity, {_J.format(f='ft', a='ath')} as desired_themes, array_to_string(list_sort(ath), ',') as avoid_themes, tr as has_trajectory,
- case when regexp_matches(t, '\\b(?:lots? of different|many different|more variety|diverse|varied|showcase)\\b') then 0.85::double when regexp_matches(t, '\\b(?:smooth|story|long-form|long form)\\b') then 0.15::double else 0.35::double end as desired_variety,
- case when regexp_matches(t, '\\b(?:avoid|fewer|no)\\s+(?:repeats?|reprises?)\\b') then 'avoid' when regexp_matches(t, '\\b(?:callback|return to|reprise)\\b') then 'callback' else 'balanced' end as reprise,
- case when regexp_matches(t, '\\b(?:experimental|mashup)\\b') then 'experimental' when regexp_matches(t, '\\bclub(?:[- ]style)?\\b') then 'club' when regexp_matches(t, '\\bstory(?:[- ]like)?\\b') then 'story' else 'classic' end as performance_style from p""")
+@query("request_tag", "", _TAG)
 def request_tag(t: Tables) -> DataFrame:
     d = ops.tag(t.raw("customer").select(_c("c_custkey").alias("request_id"), F.expr(_TXT).alias("raw_text")))
-    s = lambda c: F.concat_ws(",", F.array_sort(c)).alias(c)
-    lists = ("desired_moods", "avoid_moods", "desired_activity", "desired_themes", "avoid_themes")
-    return d.select(*[s(c) if c in lists else _c(c) for c in d.columns if c != "mood_trajectory"], _c("mood_trajectory").isNotNull().alias("has_trajectory"))
+    text = lambda c: F.concat_ws(",", _c(c) if c.endswith("trajectory") else F.array_sort(c)).alias(c)
+    return d.select(*[text(c) if kind == "array<string>" else _c(c) for c, kind in d.dtypes])
 
 
 @query("performance_provenance")

@@ -219,3 +219,32 @@ def test_technique_choice_folds_history_and_budget(spark):
     assert [x in strong for x in got[1]] == [True, False, False, True, False]
     assert [x in strong for x in got[2]][:4] == [True, True, True, False]
     assert got[3] == ["section edit", "vocal bridge"]
+
+
+TAGGED = [
+    ("give me a chill mix", {"preset": "chill", "energy_profile": "steady", "raw": None}),
+    ("smooth 30 min set, 120-130 bpm, no vocal clash", {"preset": "vocal_safe", "transition_style": "smooth", "target_duration_sec": 1800.0, "bpm_min": 120.0, "bpm_max": 130.0, "vocal_preference": "vocal_safe"}),
+    ("120 bpm", {"bpm_min": 115.0, "bpm_max": 130.0, "preset": None}),
+    ("2 hour set", {"target_duration_sec": 7200.0}),
+    ("late_night", {"preset": "late_night", "energy_profile": "wave", "target_duration_sec": 5400.0, "desired_activity": []}),
+    ("", {"preset": None, "energy_profile": None, "target_duration_sec": 1800.0, "reprise": "balanced", "layering": "off"}),
+    ("stem separation preferred", {"prefer_stems": True, "vocal_preference": "stem_friendly"}),
+    ("harmonic mixing", {"prefer_harmonic": True}),
+    ("Make a romantic party mix but avoid breakup songs", {"desired_themes": ["romance", "party"], "avoid_themes": ["breakup"], "desired_lyrical_moods": ["romantic"]}),
+    ("Start sad and emotional and slowly become hopeful", {"meaning_trajectory": ["sad", "hopeful"], "mood_trajectory": ["melancholic", "hopeful"], "energy_profile": "slow_build"}),
+    ("chill, then get energetic", {"mood_trajectory": ["calm", "energetic"], "meaning_trajectory": []}),
+    ("no sad songs, never any very dark lyrics", {"avoid_moods": ["sad", "dark"], "avoid_lyrical_moods": ["sad", "dark"], "desired_moods": []}),
+    ("a mashup with big effects and fewer repeats", {"layering": "prefer", "performance_style": "experimental", "performance_mode": "segment", "technique_intensity": "strong", "reprise": "avoid"}),
+    ("club night, don't use any mashups, no flashy effects", {"layering": "off", "technique_intensity": "subtle", "allow_creative_fx": False}),
+    ("a story-like remix-style set", {"performance_style": "experimental", "performance_mode": "segment", "desired_variety": 0.15}),
+    ("a story with a callback, lots of different songs", {"performance_style": "story", "performance_mode": "classic", "reprise": "callback", "desired_variety": 0.85}),
+]
+
+
+def test_request_tag_by_hand(spark):
+    from segue.operators.tagging import tag
+
+    got = {r.request_id: r.asDict() for r in tag(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TAGGED)] + [(99, None)], "request_id long, raw_text string")).collect()}
+    for i, (text, want) in enumerate(TAGGED):
+        assert {k: got[i][k] for k in want if k != "raw"} == {k: v for k, v in want.items() if k != "raw"}, text
+    assert {k: v for k, v in got[99].items() if k != "request_id"} == {k: v for k, v in got[5].items() if k != "request_id"}
