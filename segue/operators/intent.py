@@ -25,6 +25,7 @@ OPPOSITES = {
 # fixed values: labels that count as each other when avoided
 RELATED = {"breakup": ["breakup", "heartbreak"], "heartbreak": ["heartbreak", "breakup"], "love": ["love", "romance"], "romance": ["romance", "love"]}
 STATUS_RANK = {"strong": 3, "partial": 2, "unknown": 1, "contradiction": 0}
+# fixed values: words that make a wish a rule, and words that exclude
 HARD_WORDS = r"\b(?:only|exclude|excluded|never|must|without|avoid)\b"
 EXCLUDE_WORDS = r"\b(?:avoid|exclude|never|without|only)\b"
 

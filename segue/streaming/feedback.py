@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segue.session import scratch_path
 
@@ -19,24 +20,27 @@ def read_stream(spark: SparkSession, folder: str, glob: str, files_per_batch: in
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
+def drain(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over everything available and return the resulting table.
 
-    Complete and append results land in a Parquet table under the shared root, written
-    once per batch with the batch id in the path, so a replayed batch overwrites itself.
+    With ``keys`` the stream runs in update mode: a batch writes only the keys it changed, and
+    the table holds the last row of each key. Without, it runs in append mode. Batches land under
+    the shared root with the batch id in the path, so a replayed batch overwrites itself.
     """
     spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{out}/all" if mode == "complete" else f"{out}/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("update" if keys else "append").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    if mode == "complete":
-        return spark.read.parquet(f"{out}/all")
-    return spark.read.option("basePath", out).option("recursiveFileLookup", "true").schema(stream.schema).parquet(out)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.option("basePath", out).schema(schema).parquet(out)
+    if not keys:
+        return rows.drop("batch")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("r"))
+    return last.select("r.*")
 
 
 def feedback_state(events: DataFrame) -> DataFrame:
@@ -53,7 +57,7 @@ def transition_avg(ratings: DataFrame) -> DataFrame:
 
 
 def plays_windowed(events: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
-    """Plays per track and event-time window, emitted when the watermark passes the window.
+    """Plays per track and event-time window; state of a window goes when the watermark has passed it.
 
     ``events.ts`` must be a TIMESTAMP: watermarks reject timestamps without a zone.
     """

@@ -13,23 +13,27 @@ SCHEMA = "mix_id long, out_start long, expected long, kind string"
 
 
 class RunningEnd(StatefulProcessor):
-    """Keeps the furthest output end of a mix and reports rows that do not start there."""
+    """Keeps the furthest output end of a mix and reports rows that do not start there.
+
+    Rows of one micro-batch are judged in output order, however they are cut into chunks. Rows of
+    later batches are judged against the furthest end so far, so a mix must arrive in order of
+    batches, as it does from a renderer that writes its timeline forward.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.end = handle.getValueState("furthest_end", "end long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         end = self.end.get()[0] if self.end.exists() else 0
-        for pdf in rows:
-            pdf = pdf.sort_values(["out_start", "tie", "track_id", "src_start", "src_end"], kind="stable")
-            ends = pdf["out_end"].cummax().clip(lower=end)
-            expected = ends.shift(1, fill_value=end).clip(lower=0)
-            end = int(ends.iloc[-1])
-            bad = pdf["out_start"].to_numpy() != expected.to_numpy()
-            if bad.any():
-                start, want = pdf["out_start"].to_numpy()[bad], expected.to_numpy()[bad]
-                yield pd.DataFrame({"mix_id": key[0], "out_start": start, "expected": want,
-                                    "kind": ["output_gap" if s > w else "output_overlap" for s, w in zip(start, want)]})
+        pdf = pd.concat(list(rows)).sort_values(["out_start", "tie", "track_id", "src_start", "src_end"], kind="stable")
+        ends = pdf["out_end"].cummax().clip(lower=end)
+        expected = ends.shift(1, fill_value=end).clip(lower=0)
+        end = int(ends.iloc[-1])
+        bad = pdf["out_start"].to_numpy() != expected.to_numpy()
+        if bad.any():
+            start, want = pdf["out_start"].to_numpy()[bad], expected.to_numpy()[bad]
+            yield pd.DataFrame({"mix_id": key[0], "out_start": start, "expected": want,
+                                "kind": ["output_gap" if s > w else "output_overlap" for s, w in zip(start, want)]})
         self.end.update((end,))
 
     def close(self) -> None:

@@ -248,3 +248,32 @@ def test_request_tag_by_hand(spark):
     for i, (text, want) in enumerate(TAGGED):
         assert {k: got[i][k] for k in want if k != "raw"} == {k: v for k, v in want.items() if k != "raw"}, text
     assert {k: v for k, v in got[99].items() if k != "request_id"} == {k: v for k, v in got[5].items() if k != "request_id"}
+
+
+def test_streams_over_several_batches(spark, tmp_path):
+    """One file a batch: update mode leaves the same tables as one batch over everything."""
+    from segue.streaming import feedback as live
+    from segue.streaming.violations import gap_stream
+
+    rng = random.Random(4)
+    rows = [(i, rng.randint(0, 5), rng.choice(["like", "dislike", "play"]), i) for i in range(200)]
+    schema = "event_id long, track_id long, action string, ts long"
+    for k in range(4):
+        spark.createDataFrame(rows[k * 50 : k * 50 + 50], schema).coalesce(1).write.parquet(str(tmp_path / "e" / f"{k}.parquet"))
+    at_rest = spark.createDataFrame(rows, schema)
+    stream = live.read_stream(spark, str(tmp_path / "e" / "*.parquet"), "*.parquet", 1)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(live.drain(live.feedback_state(stream), "t-state", ["track_id"])) == key(live.feedback_state(at_rest))
+    mixes = [(m, p, s, s, s + rng.randint(5, 15), 0, 1, 0) for m in range(3) for p, s in enumerate(range(0, 120, 10))]
+    schema = "mix_id long, pos long, track_id long, out_start long, out_end long, src_start long, src_end long, tie long"
+    for k in range(3):
+        spark.createDataFrame([r for r in mixes if r[1] // 4 == k], schema).repartition(2).write.parquet(str(tmp_path / "v" / f"{k}.parquet"))
+    got = key(live.drain(gap_stream(spark, live.read_stream(spark, str(tmp_path / "v" / "*.parquet"), "*.parquet", 8)), "t-gaps"))
+    want = []
+    for m in range(3):
+        end = 0
+        for r in (r for r in mixes if r[0] == m):
+            if r[3] != end:
+                want.append((m, r[3], end, "output_gap" if r[3] > end else "output_overlap"))
+            end = max(end, r[4])
+    assert got == sorted(want)
