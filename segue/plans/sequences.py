@@ -11,8 +11,9 @@ from segue.operators import sequences as ops
 from segue.operators import sets as set_ops
 from segue.plans import _sql as S
 from segue.plans.intent import PR, _pairs, start_preference
-from segue.plans.sets import SI, _items
+from segue.plans.sets import ORDER_SQL, SI, _items, order_check
 from segue.plans.structure import _segments, shortlist
+from segue.plans.transitions import SEARCH_SQL, transition_search
 from segue.registry import query
 from segue.session import cut_lineage
 from segue.sources.tables import Tables
@@ -124,12 +125,10 @@ def role_beam(t: Tables) -> DataFrame:
     return b.select("request_id", F.concat_ws(",", "path").alias("segments"), r6(_c("score")).alias("score"), _c("stays").cast("bigint").alias("stays"))
 
 
-@query("ordered_set")
+@query("ordered_set", "handoff_pairs curve regions feedback", f"""{SEARCH_SQL}{ORDER_SQL} select * from found
+ where set_id not in (select set_id from v where kind in ('unknown_track', 'duplicate_track', 'too_few_tracks'))""")
 def ordered_set(t: Tables) -> DataFrame:
     """Transitions for user-given orders that pass the order check."""
-    from segue.plans.sets import order_check
-    from segue.plans.transitions import transition_search
-
     bad = order_check(t).where(_c("kind").isin("unknown_track", "duplicate_track", "too_few_tracks")).select("set_id").distinct()
     return transition_search(t).join(bad, "set_id", "left_anti")
 

@@ -301,11 +301,14 @@ def role_flow(t: Tables) -> DataFrame:
     return _section_pairs(t).select("event_id", "a", "b", ops.role_flow(_c("a"), _c("b")).alias("score"), ops.role_flow(_c("a"), _c("b"), 0.45).alias("local_score"))
 
 
-@query("order_check", "set_items tracks feedback", """, bad as (select distinct track_id from feedback where action = 'dislike'), known as (select track_id from tracks where track_id % 11 <> 0),
+ORDER_SQL = """, bad as (select distinct track_id from feedback where action = 'dislike'), known as (select track_id from tracks where track_id % 11 <> 0),
 v as (select set_id, 'unknown_track' as kind, track_id as ident, count(*) as n from set_items where track_id not in (select track_id from known) group by 1, 2, 3
  union all select set_id, 'duplicate_track', track_id, count(*) from set_items group by 1, 3 having count(*) > 1
  union all select set_id, 'too_few_tracks', null, count(*) from set_items group by 1 having count(*) < 2
- union all select set_id, 'excluded_track', track_id, count(*) from set_items where track_id in (select track_id from bad) group by 1, 3) select * from v""")
+ union all select set_id, 'excluded_track', track_id, count(*) from set_items where track_id in (select track_id from bad) group by 1, 3)"""
+
+
+@query("order_check", "set_items tracks feedback", f"{ORDER_SQL} select * from v")
 def order_check(t: Tables) -> DataFrame:
     items = t.set_items().select("set_id", "track_id")
     known = t.tracks().where(_c("track_id") % 11 != 0).select("track_id")

@@ -197,10 +197,16 @@ def edge_quality_best(t: Tables) -> DataFrame:
     return d.groupBy("set_id", "pos").agg(snap(F.max(F.when(fits, _c("overall"))), 4).alias("best"))
 
 
-@query("transition_search", _B, f""", {_SEARCH}, s1 as (select *, et + used <= bd and xt + ov <= ad as fits from ql), s2 as (select *, fits and trough <= 3.5 and not (vocals = 'vocal_safe' and coll > 0.16 and kind <> 'phrase_cut') and not (style = 'smooth' and coll > 0.25) as strict from s1),
-s3 as (select *, case when strict then 1 when fits then 2 else 3 end as tier, round(overall * case when strict then case when kind = 'phrase_cut' and confidence < 0.62 then 0.65::double else 1 end when fits then 0.9::double else 0.25::double end, 9) as sel from s2),
-s4 as (select *, row_number() over (partition by set_id, pos order by tier, sel desc, round(c_phrase, 9) desc, round(c_landing, 9) desc, xt, et, kind desc) as rn from s3)
-select set_id, pos, cast(tier as bigint) as tier, round(sel + 1e-9, 4) as selection, round(xt + 1e-9, 4) as exit_t, et as entry_t, kind from s4 where rn = 1""")
+_PICK = """s1 as (select *, et + used <= bd and xt + ov <= ad as fits from ql),
+s2 as (select *, fits and trough <= 3.5 and not (vocals = 'vocal_safe' and coll > 0.16 and kind <> 'phrase_cut') and not (style = 'smooth' and coll > 0.25) as strict from s1),
+s3 as (select *, case when strict then 1 when fits then 2 else 3 end as tier,
+ round(overall * case when strict then case when kind = 'phrase_cut' and confidence < 0.62 then 0.65::double else 1 end when fits then 0.9::double else 0.25::double end, 9) as sel from s2),
+s4 as (select *, row_number() over (partition by set_id, pos order by tier, sel desc, round(c_phrase, 9) desc, round(c_landing, 9) desc, xt, et, kind desc) as rn from s3),
+found as (select set_id, pos, cast(tier as bigint) as tier, round(sel + 1e-9, 4) as selection, round(xt + 1e-9, 4) as exit_t, et as entry_t, kind from s4 where rn = 1)"""
+SEARCH_SQL = f", {_SEARCH}, {_PICK}"
+
+
+@query("transition_search", _B, f"{SEARCH_SQL} select * from found")
 def transition_search(t: Tables) -> DataFrame:
     d = ops.search(_search_frame(t), ["set_id", "pos"])
     return d.select("set_id", "pos", "tier", snap(_c("selection"), 4).alias("selection"), snap(_c("exit_t"), 4).alias("exit_t"), "entry_t", "kind")
