@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from segue.functions.basic import clip, r6, snap
 from segue.functions.vectors import entropy, softmax
 from segue.functions.vocab import ACTIVITIES, INTENSITIES, MOODS, STYLES
+from segue.session import cut_lineage
 
 GROUPS = {"mood": MOODS, "activity": ACTIVITIES, "intensity": INTENSITIES, "style": STYLES}
 
@@ -81,27 +80,54 @@ def centroid(windows: DataFrame, vector: str = "embedding") -> DataFrame:
     return parts.join(size, "track_id").select("track_id", F.col("i").cast("bigint").alias("i"), (F.col("x") / F.greatest(F.col("n"), F.lit(1e-12))).alias("x"))
 
 
-def knn(vectors: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
+def knn(vectors: DataFrame, k: int = 5, cell_rows: int = 1024, pivots: int = 2048, block: int = 4096) -> DataFrame:
     """The k nearest vectors of each vector by cosine mapped to [0, 1]; ties by id. Exact.
 
-    Vectors are hashed into blocks of bounded size. A task multiplies one block by
-    another and returns only k rows per query, so no pair is ever emitted and no
-    group exceeds two blocks, whatever the data.
+    Each vector belongs to the cell of its nearest pivot. A query is first compared with its own
+    cell; its k-th similarity there rules out every cell that can't hold a better one, since
+    q.y <= q.p + |y - p| for each member y of the cell of p. Cells are cut into blocks of bounded
+    size, and a block returns k rows per query, so no pair is ever emitted.
+
+    A zero vector has similarity 0.5 with every vector: as a query it takes the smallest ids, and
+    as targets only the k + 1 smallest ids among zero vectors can matter.
     """
-    n_blocks = max(1, math.ceil(vectors.count() / block))
-    v = vectors.select("track_id", "embedding", (F.xxhash64("track_id") % n_blocks).alias("h")).withColumn("b", F.pmod("h", F.lit(n_blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = v.select("track_id", "embedding", F.col("b").alias("qb"), every.alias("cb"))
-    right = v.select("track_id", "embedding", every.alias("qb"), F.col("b").alias("cb"))
+    f = F.col
+    v = vectors.select("track_id", "embedding").where(f("embedding").isNotNull())
+    share = min(1 / cell_rows, pivots / max(v.count(), 1))
+    spread = F.pmod(F.xxhash64("track_id"), F.lit(1 << 40))
+    picked = v.where(spread < int(share * (1 << 40))).orderBy(F.xxhash64("track_id"), "track_id").limit(2 * pivots).collect()
+    p = np.stack([r.embedding for r in picked]) if picked else None
+    if p is not None:
+        p = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300)
+
+    def homes(parts):
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            u = np.stack(pdf["embedding"].to_numpy())
+            norm = np.linalg.norm(u, axis=1)
+            u = u / np.maximum(norm, 1e-300)[:, None]
+            dots = u @ p.T if p is not None else np.zeros((len(u), 1))
+            cell = dots.argmax(axis=1)
+            size = (p * p).sum(axis=1)[cell] if p is not None else np.zeros(len(u))
+            far = np.sqrt(np.maximum((u * u).sum(axis=1) + size - 2 * dots[np.arange(len(u)), cell], 0))
+            yield pd.DataFrame({"track_id": pdf["track_id"], "unit": list(u), "zero": norm == 0, "cell": cell, "far": far})
+
+    placed = cut_lineage(v.mapInPandas(homes, "track_id long, unit array<double>, zero boolean, cell long, far double"))
+    queries = placed.where(~f("zero"))
+    targets = queries.unionByName(placed.where("zero").orderBy("track_id").limit(k + 1))
+    cells = targets.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()
+    radius = np.full(len(p) if p is not None else 1, -np.inf)
+    for r in cells:
+        radius[r.cell] = r.far
+    parts = F.greatest(F.lit(1), F.element_at(F.create_map(*[F.lit(x) for r in cells for x in (r.cell, -(-r.n // block))]), f("cell"))) if cells else F.lit(1)
+    right = targets.select(f("track_id").alias("t"), f("unit").alias("y"), f("cell").alias("yc"), F.pmod(F.xxhash64("track_id"), parts).alias("yj"))
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"src": [], "dst": [], "similarity": []})
-        a, b = np.stack(q["embedding"].to_numpy()), np.stack(c["embedding"].to_numpy())
-        a = a / np.linalg.norm(a, axis=1, keepdims=True)
-        b = b / np.linalg.norm(b, axis=1, keepdims=True)
-        sim = np.round(np.clip((a @ b.T + 1) / 2, 0, 1), 6)
-        ids, qids = c["track_id"].to_numpy(), q["track_id"].to_numpy()
+        sim = np.round(np.clip((np.stack(q["unit"].to_numpy()) @ np.stack(c["y"].to_numpy()).T + 1) / 2, 0, 1), 6)
+        ids, qids = c["t"].to_numpy(), q["track_id"].to_numpy()
         sim[qids[:, None] == ids[None, :]] = -1.0
         order = np.argsort(ids, kind="stable")
         sim, ids = sim[:, order], ids[order]
@@ -109,6 +135,34 @@ def knn(vectors: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
         out = pd.DataFrame({"src": np.repeat(qids, top.shape[1]), "dst": ids[top].ravel(), "similarity": np.take_along_axis(sim, top, 1).ravel()})
         return out[out["similarity"] >= 0]
 
-    near = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(best, "src long, dst long, similarity double")
+    def searched(asked: DataFrame) -> DataFrame:
+        """k best of each (track_id, unit, cell) inside that cell, block by block."""
+        n_chunks = max(1, -(-total // block))  # as many chunks of queries as a cell can need
+        left = asked.withColumn("i", F.pmod(F.xxhash64("track_id", F.lit(1)), F.lit(n_chunks))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
+        met = left.select(f("cell").alias("yc"), f("i").alias("yi")).distinct()
+        there = right.join(met, "yc")
+        return left.groupBy("cell", "i", "j").cogroup(there.groupBy("yc", "yi", "yj")).applyInPandas(best, "src long, dst long, similarity double")
+
+    total = sum(r.n for r in cells)
     w = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
-    return near.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(w).cast("bigint")).where(f("rank") <= k)
+    own = cut_lineage(ranked(searched(queries.select("track_id", "unit", "cell"))))
+    floor = own.groupBy("src").agg(F.when(F.count(F.lit(1)) == k, F.min("similarity")).otherwise(-1.0).alias("floor"))
+
+    def others(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            u = np.stack(pdf["unit"].to_numpy())
+            most = (np.minimum((u @ p.T if p is not None else np.zeros((len(u), 1))) + radius, 1) + 1) / 2
+            ok = (most >= pdf["floor"].to_numpy()[:, None] - 2e-6) & np.isfinite(most)
+            ok[np.arange(len(u)), pdf["cell"].to_numpy()] = False
+            i, c = np.nonzero(ok)
+            if len(i):
+                yield pd.DataFrame({"track_id": pdf["track_id"].to_numpy()[i], "unit": [u[x] for x in i], "cell": c})
+
+    asked = queries.join(floor, queries.track_id == floor.src, "left").select("track_id", "unit", "cell", F.coalesce("floor", F.lit(-1.0)).alias("floor"))
+    far = searched(asked.mapInPandas(others, "track_id long, unit array<double>, cell long"))
+    first = F.broadcast(placed.select(f("track_id").alias("dst")).orderBy("dst").limit(k + 1).agg(F.collect_list("dst").alias("ids")))
+    blank = placed.where("zero").select(f("track_id").alias("src")).join(first).select("src", F.explode("ids").alias("dst"), F.lit(0.5).alias("similarity")).where("src <> dst")
+    return ranked(own.drop("rank").unionByName(far).unionByName(blank))

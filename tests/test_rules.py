@@ -117,13 +117,21 @@ def test_pair_topk_equals_full_ranking_with_a_hot_group(spark, n):
         assert [(d, round(s, 3)) for _, d, s in sorted(got[a[0]])] == [(d, round(-s, 3)) for s, d in want]
 
 
-def test_knn_blocks_equal_one_block(spark):
+@pytest.mark.parametrize("kw", [{}, {"cell_rows": 8}, {"cell_rows": 30, "block": 16}])
+def test_knn_equals_all_pairs_with_clusters_and_zero_vectors(spark, kw):
+    import numpy as np
+
     from segue.operators.evidence import knn
 
-    rng = random.Random(5)
-    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(90)], "track_id long, embedding array<double>")
-    rows = lambda b: sorted((r.src, r["rank"], r.dst) for r in knn(df, 4, b).collect())
-    assert rows(1000) == rows(17)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 8))
+    v = [(i, (centres[i % 6] + 0.1 * rng.normal(size=8)).tolist() if i % 3 else [0.0] * 8 if i % 2 else rng.normal(size=8).tolist()) for i in range(150)]
+    x = np.array([e for _, e in v])
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    sim = np.round(np.clip((x @ x.T + 1) / 2, 0, 1), 6)
+    want = sorted((i, r + 1, j) for i in range(150) for r, j in enumerate(sorted((j for j in range(150) if j != i), key=lambda j: (-sim[i, j], j))[:4]))
+    df = spark.createDataFrame(v, "track_id long, embedding array<double>")
+    assert sorted((r.src, r["rank"], r.dst) for r in knn(df, 4, **kw).collect()) == want
 
 
 def test_feedback_state_keeps_flag_on_play(spark):
