@@ -51,8 +51,8 @@ class _Words:
         gaps = np.flatnonzero(data == 32)
         self.starts = np.concatenate(([0], gaps + 1)) if len(data) else gaps
         self.ends = np.concatenate((gaps, [len(data)])) if len(data) else gaps
-        before = np.concatenate(([0], np.cumsum(keep & ~word)))  # blanks kept, so words ended
-        self.first = before[np.cumsum([0, *(len(t) + 1 for t in texts)])]
+        ended = np.flatnonzero(keep & ~word)  # the blank after each word
+        self.first = np.searchsorted(ended, np.cumsum([0, *(len(t) + 1 for t in texts)]))
         self.hash = hashes(data, self.starts, self.ends)
 
 

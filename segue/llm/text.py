@@ -6,7 +6,9 @@ the six ASCII spaces (0x09-0x0D and 0x20).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +27,36 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes of text that one vector step works on, unless a single text is longer.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
-_powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
+
+
+def of_worker(key: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps for its later tasks.
+
+    Functions travel by value, so the globals of a task are its own, and large arrays there would
+    stay until the worker happens to collect cycles.
+    """
+    kept = sys.modules.setdefault("segue_llm_of_worker", types.ModuleType("segue_llm_of_worker"))
+    if not hasattr(kept, key):
+        setattr(kept, key, make())
+    return getattr(kept, key)
 
 
 def _power(sign: int, n: int) -> np.ndarray:
     """Powers 0..n-1 of the hash base (sign 1) or of its inverse (sign -1), modulo 2**64."""
-    if len(_powers[sign]) < n:
+    kept: dict[int, np.ndarray] = of_worker("powers", dict)
+    if sign not in kept or len(kept[sign]) < n:
         base = _BASE if sign > 0 else pow(_BASE, -1, 1 << 64)
         p = np.full(max(n, CHUNK + 4096), base, np.uint64)
         p[0] = 1
-        _powers[sign] = np.multiply.accumulate(p)
-    return _powers[sign][:n]
+        p = np.multiply.accumulate(p)
+        if n > CHUNK + 4096:  # a single long word: not worth keeping
+            return p[:n]
+        kept[sign] = p
+    return kept[sign][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
