@@ -150,17 +150,22 @@ def search(scored: DataFrame, key: list[str]) -> DataFrame:
 
 
 def layer_gate(pairs: DataFrame) -> DataFrame:
-    """Vocal-over-instrumental score with hard gates and the reasons they failed."""
+    """Vocal-over-instrumental score with hard gates and the reasons they failed.
+
+    A track never layers over itself: such a pair has score 0 and that reason alone.
+    """
     f = F.col
+    same = f("src") == f("dst")
     phrase = F.when((f("a_bars") >= 4) & (f("b_bars") >= 4) & (F.abs(f("a_bars") - f("b_bars")) <= 4), 1.0).otherwise(0.5)
     d = pairs.select(
         "*", Q.layer_tempo(f("a_bpm"), f("b_bpm")).alias("tempo"), key_score(f("a_camelot"), f("b_camelot")).alias("key"), phrase.alias("phrase"),
         clip(f("a_vocal") * 1.4).alias("vocal"), clip(1 - f("b_vocal")).alias("instrumental"), F.greatest(F.lit(0.0), 1 - F.abs(f("a_mean_energy") - f("b_mean_energy")) * 1.5).alias("energy"))
-    d = d.withColumn("score", F.round(Q.layer_score(f("tempo"), f("key"), f("phrase"), f("vocal"), f("instrumental"), f("energy"), f("local")), 9))
+    d = d.withColumn("score", F.when(same, 0.0).otherwise(F.round(Q.layer_score(f("tempo"), f("key"), f("phrase"), f("vocal"), f("instrumental"), f("energy"), f("local")), 9)))
     reasons = F.concat_ws(
         "; ", F.when(~f("stems"), "complete vocal and backing stem caches are required"), F.when(f("vocal") < 0.30, "source segment has insufficient vocal material"),
         F.when(f("instrumental") < 0.65, "target segment contains too much vocal material"), F.when(f("tempo") < 0.20, "tempo mismatch is too large for conservative layering"),
         F.when(f("key") < 0.75, "harmonic compatibility is below the layering gate"))
+    reasons = F.when(same, "layering requires two different source tracks").otherwise(reasons)
     return d.withColumn("reason", reasons).withColumn("accepted", (f("reason") == "") & (f("score") >= 0.72))
 
 

@@ -250,8 +250,8 @@ _LT = "case when a_bpm <= 0 or b_bpm <= 0 then 0.5::double when abs(a_bpm - b_bp
 
 def _gate_sql(src: str) -> str:
     return f"""g0 as (select *, {_LT} as tempo, {S.key('a_camelot', 'b_camelot')} as ke, case when abs(src % 12 - dst % 12) <= 4 then 1.0::double else 0.5::double end as phrase, least(1, a_mid_energy * 1.4::double) as vocal, greatest(0, 1 - b_low_energy) as ins, greatest(0, 1 - abs(a_mean_energy - b_mean_energy) * 1.5::double) as en, src % 4 <> 0 as st from {src}),
-g1 as (select *, round(0.85::double * (0.24::double * tempo + 0.24::double * ke + 0.18::double * phrase + 0.14::double * vocal + 0.12::double * ins + 0.08::double * en) + 0.15::double * 0.8::double, 9) as score,
- concat_ws('; ', case when not st then 'complete vocal and backing stem caches are required' end, case when vocal < 0.3 then 'source segment has insufficient vocal material' end, case when ins < 0.65 then 'target segment contains too much vocal material' end, case when tempo < 0.2 then 'tempo mismatch is too large for conservative layering' end, case when ke < 0.75 then 'harmonic compatibility is below the layering gate' end) as reason from g0),
+g1 as (select *, case when src = dst then 0 else round(0.85::double * (0.24::double * tempo + 0.24::double * ke + 0.18::double * phrase + 0.14::double * vocal + 0.12::double * ins + 0.08::double * en) + 0.15::double * 0.8::double, 9) end as score,
+ case when src = dst then 'layering requires two different source tracks' else concat_ws('; ', case when not st then 'complete vocal and backing stem caches are required' end, case when vocal < 0.3 then 'source segment has insufficient vocal material' end, case when ins < 0.65 then 'target segment contains too much vocal material' end, case when tempo < 0.2 then 'tempo mismatch is too large for conservative layering' end, case when ke < 0.75 then 'harmonic compatibility is below the layering gate' end) end as reason from g0),
 gt as (select *, reason = '' and score >= 0.72 as accepted from g1)"""
 
 
