@@ -12,14 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segue.llm.text import text_bytes
+from segue.llm.text import of_worker, text_bytes
 
 #: Limits of one sequence: tokens, segments and loss-bearing tokens.
 TOKENS, SEGMENTS, LOSS_TOKENS = 1024, 256, 1024
 #: Pieces among which the next one is chosen; a piece waits here until it is placed.
 WAITING = 2048
 #: Splits of text that a worker remembers with their ids.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 #: Characters whose classes the fast splitter and the tokenizer agree on, and its split pattern.
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
@@ -129,24 +129,27 @@ def pack(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int] = (TOKENS
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer = Ids(tokenizer), Packer(limits)
+        ids_of, packer = of_worker(f"ids:{tokenizer}", lambda: Ids(tokenizer)), Packer(limits)
         first = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
 
         def out(keep: int) -> Iterator[pa.RecordBatch]:
             for (at, doc, ids, total), take, seq, offset in packer.drain(keep):
                 piece = ids[at : at + take]
-                rows.append((doc, at, take, zlib.crc32(piece.tobytes()), total, first + seq, offset) + ((piece.tolist(),) if with_ids else ()))
-                if len(rows) >= 4096:
+                rows.append((doc, at, take, zlib.crc32(piece.tobytes()), total, first + seq, offset, piece))
+                if len(rows) >= 1024:
                     yield batch_of()
             if rows and keep == 0:
                 yield batch_of()
 
         def batch_of() -> pa.RecordBatch:
-            cols = [list(c) for c in zip(*rows)]
+            *cols, pieces = zip(*rows)
             rows.clear()
-            kinds = [id_type, *[pa.int64()] * 6, *([pa.list_(pa.int64())] if with_ids else [])]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+            arrays = [pa.array(c, t) for c, t in zip(cols, [id_type, *[pa.int64()] * 6])]
+            if with_ids:
+                ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces).astype(np.int32))))
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         id_type = pa.int64()
         for batch in batches:
@@ -165,5 +168,5 @@ def pack(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int] = (TOKENS
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), prompt.alias("prompt"))
     kind = kept.schema[0].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return kept.mapInArrow(run, schema)
