@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segue.llm.store import saved
-from segue.llm.text import WORDS, chunks, hashes, run_hash, spans, text_bytes
+from segue.llm.text import WORDS, chunks, hashes, run_hash, text_bytes
 
 #: Words in a window and in the gram whose least hash places it.
 WINDOW, GRAM = 13, 4
@@ -220,22 +220,30 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _judge_bucket(held.pop(bucket))
 
 
+def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, so that less of them goes through the last join."""
+    zip_ = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+    for batch in batches:
+        data, off = text_bytes(batch.column(2))
+        raw = memoryview(data)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([zip_(raw[a:b]) for a, b in zip(off[:-1], off[1:])], pa.binary())], ["doc_id", "base", "packed"])
+
+
 def _strip(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     """Words outside the ranges of each text."""
+    unzip = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        data, off = text_bytes(batch.column(1))
-        starts, ends, first = spans(data, off)
-        raw, rows = memoryview(data), []
-        for i, (doc, gone) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-            a, b = int(first[i]), int(first[i + 1])
-            words = bytes(raw[off[i] : off[i + 1]]).split()
+        rows = []
+        for doc, packed, gone in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            words = unzip(packed.as_py()).split()
+            n = len(words)
             if gone:
-                edge = np.zeros(b - a + 1, np.int64)
+                edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, [r["start"] & 0xFFFFFFFF for r in gone], 1)
                 np.add.at(edge, [r["stop"] & 0xFFFFFFFF for r in gone], -1)
                 words = [w for w, out in zip(words, (np.cumsum(edge[:-1]) > 0).tolist()) if not out]
             kept = b" ".join(words)
-            rows.append((doc, b - a, b - a - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+            rows.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
         cols = list(zip(*rows)) or [()] * 5
         kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
@@ -279,6 +287,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     waiting = waiting.select("least", F.inline(F.arrays_zip("docs", "at"))).select("docs", "at", F.posexplode("least").alias("nth", "low")).where("low < docs")
     ranges = ranges.union(waiting.select("docs", F.col("at") + F.col("nth"), F.col("at") + F.col("nth") + WINDOW))
     by_doc = ranges.groupBy("doc", F.shiftright("start", 32).alias("nth")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
-    joined = docs.join(by_doc, (docs.doc_id == by_doc.doc) & (F.shiftright(docs.base, 32) == by_doc.nth), "left")
+    texts = docs.select("doc_id", "base", "text").mapInArrow(_shrunk, "doc_id long, base long, packed binary")
+    joined = texts.join(by_doc, (texts.doc_id == by_doc.doc) & (F.shiftright(texts.base, 32) == by_doc.nth), "left")
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    return joined.select("doc_id", "text", "gone").mapInArrow(lambda batches: _strip(batches, with_text), kind)
+    return joined.select("doc_id", "packed", "gone").mapInArrow(lambda batches: _strip(batches, with_text), kind)
