@@ -145,8 +145,8 @@ def _joined(cosine: float):
             if len(i):
                 new = np.append(True, i[1:] != i[:-1])
                 first = j[new][np.cumsum(new) - 1]
-                label = _least(len(right), np.concatenate((first, place)), np.concatenate((j, place)))
-                place = label
+                # each row stays linked to its label from earlier chunks
+                place = _least(len(right), np.concatenate((first, np.arange(len(right)))), np.concatenate((j, place)))
         # a vector of the cell is one of those that were sent to it, or of another block
         ends = [rep[right], rep[right[place]]]
         seen = np.isin(rep[left], rep[right])

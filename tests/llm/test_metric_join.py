@@ -53,3 +53,13 @@ def test_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, 1, [1.0, 0.0]), (5, 1, [1.0, 0.0]), (5, 1, [1.0, 0.0]), (6, 1, [1.0, 0.1])], schema)
     got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in metric_join.near_vectors(df).collect())
     assert got == [("5", 2, 5, True), ("5", 2, 5, True), ("6", 2, 5, False), ("None", 0, None, None)]
+
+
+def test_links_of_every_chunk_stay(spark):
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=(1100, 64))
+    both = np.stack((one, one + 0.01 * rng.normal(size=one.shape)), axis=1).reshape(2200, 64)
+    order = rng.permutation(2200)
+    df = spark.createDataFrame([(int(i), 1, both[i].tolist()) for i in order], "vec_id long, label int, embedding array<double>")
+    got = sorted(tuple(r) for r in metric_join.near_vectors(df, cell_rows=10**9).collect())
+    assert got == [(i, 1, i - i % 2, i % 2 == 0) for i in range(2200)]
