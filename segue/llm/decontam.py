@@ -15,7 +15,9 @@ from segue.llm.text import chunks, run_hash, text_bytes
 Q, PART, EDITS = 10, 100, 0.08
 #: Shared q-grams that a region needs at least; a short part's edit budget is lowered until it does.
 SHARED = 4
-#: Shorter items can't be told from chance.
+#: Length and stride of the overlapping windows that find excerpts: one of WINDOW + STRIDE - 1 characters holds a window.
+WINDOW, STRIDE = 50, 12
+#: Shorter items are found by exact match alone; those without a q-gram as whole words.
 LEAST = 32
 #: Characters of benchmark text that are searched for in one pass over the documents.
 BLOCK = 2_000_000
@@ -34,24 +36,27 @@ def fold(text: str) -> np.ndarray:
 
 
 class Index:
-    """q-grams of the parts of one block of benchmark items."""
+    """q-grams of the parts and windows of one block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.part, self.code, self.budget = [], [], [], []
         for item, text in items:
             code = fold(text)
-            if len(code) < LEAST:
+            if (code == 32).all():
                 continue
             n = max(1, round(len(code) / PART))
-            for k in range(n):
-                own = code[len(code) * k // n : len(code) * (k + 1) // n]
+            cuts = [(len(code) * k // n, len(code) * (k + 1) // n) for k in range(n)]
+            if len(code) >= WINDOW + STRIDE:
+                cuts += [(a, a + WINDOW) for a in (*range(0, len(code) - WINDOW, STRIDE), len(code) - WINDOW)]
+            for k, (a, b) in enumerate(cuts):
                 self.item.append(item)
                 self.part.append(k)
-                self.code.append(own)
-                self.budget.append(max(0, min(int(EDITS * len(own)), (len(own) - Q + 1 - SHARED) // Q)))
+                self.code.append(code[a:b])
+                self.budget.append(max(0, min(int(EDITS * (b - a)), (b - a - Q + 1 - SHARED) // Q)) if len(code) >= LEAST else 0)
         self.length = np.array([len(c) for c in self.code], np.int64)
         self.budget = np.array(self.budget, np.int64)
         self.need = self.length - Q + 1 - Q * self.budget
+        self.tiny = np.flatnonzero(self.length < Q)
         grams = [run_hash(c.astype(np.uint64), Q) for c in self.code]
         flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
@@ -81,9 +86,8 @@ class Index:
 
         Regions of one part in one text don't overlap; the one of fewer edits stays.
         """
-        if not len(self.gram):
-            return []
-        pos, entry = self.hits(code)
+        kept = list(self.words(code, begin))
+        pos, entry = self.hits(code) if len(self.gram) else (np.empty(0, np.int64), np.empty(0, np.int64))
         of, diag = self.of[entry], pos - self.at[entry]
         text = np.searchsorted(begin, pos, "right") - 1
         stride = self.budget[of] + 1
@@ -95,7 +99,6 @@ class Index:
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(order)))
         text, of, band = keys[:, first][:, count >= self.need[keys[1, first]]]
-        kept: list[tuple[int, int, int, int, int]] = []
         for a in range(0, len(text), 512):
             kept += self.align(code, begin, end, text[a : a + 512], of[a : a + 512], band[a : a + 512])
         best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
@@ -105,6 +108,19 @@ class Index:
                 have.append((start, stop, edits))
         return sorted((t, p, *r) for (t, p), rs in best.items() for r in rs)
 
+    def words(self, code: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Exact matches of items without a q-gram, as whole words."""
+        for p in self.tiny.tolist():
+            own = self.code[p]
+            at = np.flatnonzero(code[: max(0, len(code) - len(own) + 1)] == own[0])
+            for k in range(1, len(own)):
+                at = at[code[at + k] == own[k]]
+            for a in at.tolist():
+                t = int(np.searchsorted(begin, a, "right")) - 1
+                ends = [x for x in (a - 1, a + len(own)) if 0 <= x < len(code) and code[x] != _GAP]
+                if not any(chr(code[x]).isalnum() for x in ends):
+                    yield t, p, a - int(begin[t]), a + len(own) - int(begin[t]), 0
+
     def align(self, code, begin, end, text, of, band) -> Iterator[tuple[int, int, int, int, int]]:
         """Edit distance of whole parts to any stretch of text inside their bands, all candidates at once.
 
@@ -155,19 +171,21 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     """Indexes of blocks of about ``block`` characters of the benchmark: what travels to the tasks is bounded."""
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // block))
+    n = max(1, -(-total * (1 + -(-WINDOW // STRIDE)) // block))  # each character is in a part and in some windows
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
         yield Index(sorted(((r.item, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, part, start, stop, edits): every region of a text that holds a part of a benchmark item.
+    """(doc_id, item_id, part, start, stop, edits): every region of a text that holds a part or a window of a benchmark item.
 
     Items are searched for in parts of about 100 characters, in any case and with any kind of
-    white space, within 8 % edits (the parts of one item are numbered from 0). Offsets count
-    characters of the whole text. Items under 32 characters and null items are not searched
-    for; null and empty texts have no region. Repeated rows and repeated items give repeated
+    white space, within 8 % edits (the parts of one item are numbered from 0), and in overlapping
+    windows of 50 characters every 12 within 3 edits, numbered after the parts: a verbatim
+    excerpt of 61 characters is found wherever it begins. Items of up to 61 characters are
+    searched for as a whole, under 32 by exact match, and under 10 as whole words. Offsets count
+    characters of the whole text. Blank, empty and null items are not searched for; null and empty texts have no region. Repeated rows and repeated items give repeated
     regions; null ids stay null; other columns are ignored; empty tables give no rows. One pass
     over the documents for each block of the benchmark, without a shuffle.
     """

@@ -87,3 +87,19 @@ def test_empty_tables_null_ids_and_long_text(spark):
     assert decontam.contaminated(docs, bench.limit(0)).collect() == []
     rows = decontam.contaminated(docs, bench).collect()
     assert sorted((str(r.doc_id), str(r.item_id), r.start, r.edits) for r in rows) == [("2", "None", 0, 0), ("None", "1", 3_200_000, 1)]
+
+
+def test_excerpts_at_every_offset_and_short_items(spark):
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choices("abcdefghij klmno", k=n))
+    items = [(1, prose(400)), (2, prose(140)), (3, prose(25)), (4, "Kiel 7"), (5, " ")]
+    size = decontam.WINDOW + decontam.STRIDE - 1
+    texts = [prose(30) + items[i][1][a : a + size] + prose(30) for i in (0, 1) for a in range(len(items[i][1]) - size + 1)]
+    n = len(texts)
+    texts += [prose(40) + items[2][1].upper() + prose(40), "so kiel 7, then", "so kiel 77 then", prose(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    first = len(items[0][1]) - size + 1
+    assert found == {(i, 1 if i < first else 2) for i in range(n)} | {(n, 3), (n + 1, 4)}
+    assert sorted(r.doc_id for r in decontam.clean(docs, bench).collect()) == [n + 2, n + 3]
