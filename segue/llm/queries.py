@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segue.llm import decontam, lm, metric_join, packing, quality, secrets, simhash, substring, toxicity, urls
+from segue.llm import decontam, lm, metric_join, packing, quality, secrets, simhash, spelling, substring, toxicity, urls
+from segue.llm.sqltext import crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +137,42 @@ from w left join kept on w.doc_id = kept.doc_id
 """)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+#: Each letter from U+00C0 to U+00FF as a sign of one byte, for a function that counts bytes.
+_ACCENTS = "".join(map(chr, range(0xC0, 0x100)))
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c != "'")[:64]
+
+
+@_query("op13_spelling", f"""
+with recursive r as (
+  select coalesce(cast(doc_id as varchar), '') || ':' as id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) as run from documents
+), l as (
+  select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from r where length(run) >= 5
+), d as (
+  select id, w, count(*) as times from l group by id, w
+), h as (
+  select w, times, {crc32("id || w")} as h from d
+), u as (
+  select case when h % 97 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, times from h
+), v as (
+  select word, cast(sum(times) as bigint) as n, length(word) as len, translate(word, '{_ACCENTS}', '{_SIGNS}') as signs
+  from u where length(word) >= 5 group by word having sum(times) >= 3
+), p as (
+  select a.word, a.n, b.word as other, b.n as m
+  from v a join v b on b.len between a.len - 1 and a.len + 1 and a.word <> b.word and levenshtein(a.signs, b.signs) = 1
+), f as (
+  select word, count(*) as n_near, max(m) as m, min(other) filter (where m = top) as other
+  from (select *, max(m) over (partition by word) as top from p) group by word
+), e as (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when m >= 2 * v.n then other end as form, case when m >= 2 * v.n then m end as form_n
+  from v left join f on f.word = v.word
+), s(word, here) as (
+  select word, word from e union all select s.word, e.form from s join e on e.word = s.here where e.form is not null
+), q as (
+  select s.word, s.here as root from s join e on e.word = s.here where e.form is null
+)
+select e.word, form, root, n, n_near, form_n from e join q on q.word = e.word
+""")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
