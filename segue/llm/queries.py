@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segue.llm import decontam, lm, metric_join, packing, quality, secrets, simhash, spelling, substring, toxicity, urls
+from segue.llm import decontam, lm, metric_join, packing, prefix_trie, quality, secrets, sharding, simhash, spelling, substring, toxicity, urls
 from segue.llm.sqltext import crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,6 +139,85 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+@_query("op11_prefix_trie", rf"""
+with t as (
+  select conv_id, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) as k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as w, turn
+  from conversations where conv_id is not null
+), o as (
+  select conv_id, k, w, row_number() over (partition by conv_id order by turn nulls first, k) - 1 as nth from t
+), c as (
+  select conv_id, {crc32("cast(conv_id as varchar)")} % 4 as h, conv_id - conv_id % 20 as base from (select distinct conv_id from o)
+), r as (
+  select c.conv_id, 0 as part, nth, k, w from c join o on o.conv_id = c.base and nth < h
+  union all select c.conv_id, 1, nth, k, w from c join o on o.conv_id = c.conv_id and nth >= h
+), s as (
+  select c.conv_id, coalesce(list(k order by part, nth) filter (where k is not null), []) as ks, coalesce(list(w order by part, nth) filter (where k is not null), []) as ws
+  from c left join r using (conv_id) group by c.conv_id
+), m as (
+  select conv_id, ks, ws, d, array_to_string(ks[1:d], ',') as path from (select conv_id, ks, ws, unnest(range(len(ks) + 1)) as d from s)
+), n as (
+  select d, path, min(conv_id) as low, count(*) as n_convs, coalesce(any_value(ws[d]) filter (where d > 0), 0) as w,
+         string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where len(ks) = d) as ends
+  from m group by d, path
+), kids as (
+  select d - 1 as d, array_to_string(string_split(path, ',')[1:d - 1], ',') as path, count(*) as n_children from n where d > 0 group by all
+), v as (
+  select n.*, coalesce(n_children, 0) as n_children from n left join kids using (d, path)
+), up as (
+  select d, array_to_string(ks[1:d], ',') as path, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum((n_convs - 1) * w) as saved_tokens
+  from (select n_children, n_convs, w, ks, unnest(range(v.d + 1)) as d from v join s on s.conv_id = v.low) group by all
+)
+select v.low as conv_id, v.d as depth, p.low as parent_conv_id, v.n_convs, v.n_children, cast(n_leaves as bigint) as n_leaves,
+       cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(v.ends, '')) as ends_sha256
+from v join up using (d, path) left join v p on p.d = v.d - 1 and p.path = array_to_string(string_split(v.path, ',')[1:v.d - 1], ',')
+""")
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+@_query("op12_sharding", f"""
+with recursive d as (
+  select doc_id, coalesce(text, '') as text from documents
+), z as (
+  select doc_id, ('0x' || substr(md5(text), 1, 15))::bigint as key, cast(octet_length(encode(text)) + 16 as bigint) as size, {crc32("text")} as text_crc32 from d
+), g as (
+  select key, cast(sum(size) as bigint) as bytes from z group by key
+), o as (
+  select key, bytes, row_number() over w - 1 as nth, (select sum(bytes) from g) - sum(bytes) over w + bytes as remains from g window w as (order by bytes desc, key)
+), heavy as (
+  select key, nth from o where nth < 40 and nth < coalesce((select min(nth) from o where bytes * (40 - nth) <= remains), 40)
+), k as (
+  select 40 - count(*) as shards from heavy
+), line as (
+  select key, bytes, cast(sum(bytes) over (order by key) as bigint) as stop from g where key not in (select key from heavy)
+), marks as (
+  select 0::bigint as stop union all select stop from line
+), whole as (
+  select max(stop) as total, (select max(bytes) from line) as largest from line
+), search(low, high, at, cuts) as (
+  select cast(greatest(largest, ceil(total / (select shards from k))) as bigint), total, 0::bigint, 0 from whole where total is not null
+  union all
+  select case when top < total and cuts + 1 >= shards then (low + high) // 2 + 1 else low end, case when top = total then (low + high) // 2 else high end,
+         case when top = total or cuts + 1 >= shards then 0 else top end, case when top = total or cuts + 1 >= shards then 0 else cuts + 1 end
+  from (select low, high, cuts, max(stop) as top from search join marks on stop <= at + (low + high) // 2 where low < high group by all) x, whole, k
+), best as (
+  select min(high) as capacity from search where low = high
+), cut(nth, at) as (
+  select 0, 0::bigint
+  union all
+  select nth + 1, max(stop) from cut join marks on stop <= at + (select capacity from best) where at < (select total from whole) group by nth
+), placed as (
+  select key, (select count(*) from heavy) + (select count(*) from cut where nth > 0 and at <= stop - bytes) as shard from line
+  union all select key, nth from heavy
+)
+select doc_id, size, text_crc32, 'bytes' as law, cast(shard as integer) as shard,
+       row_number() over (partition by shard order by key, doc_id nulls first) - 1 as slot, cast(null as integer) as grown_shard
+from z join placed using (key)
+""")
+def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_table(spark, sf_dir, "documents"))
+
+
 #: Each letter from U+00C0 to U+00FF as a sign of one byte, for a function that counts bytes.
 _ACCENTS = "".join(map(chr, range(0xC0, 0x100)))
 _SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c != "'")[:64]
