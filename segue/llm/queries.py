@@ -194,20 +194,20 @@ with recursive d as (
   select 0::bigint as stop union all select stop from line
 ), whole as (
   select max(stop) as total, (select max(bytes) from line) as largest from line
-), search(low, high, at, cuts) as (
+), search(low, high, here, cuts) as (
   select cast(greatest(largest, ceil(total / (select shards from k))) as bigint), total, 0::bigint, 0 from whole where total is not null
   union all
   select case when top < total and cuts + 1 >= shards then (low + high) // 2 + 1 else low end, case when top = total then (low + high) // 2 else high end,
          case when top = total or cuts + 1 >= shards then 0 else top end, case when top = total or cuts + 1 >= shards then 0 else cuts + 1 end
-  from (select low, high, cuts, max(stop) as top from search join marks on stop <= at + (low + high) // 2 where low < high group by all) x, whole, k
+  from (select low, high, cuts, max(stop) as top from search join marks on stop <= here + (low + high) // 2 where low < high group by all) x, whole, k
 ), best as (
   select min(high) as capacity from search where low = high
-), cut(nth, at) as (
+), cut(nth, here) as (
   select 0, 0::bigint
   union all
-  select nth + 1, max(stop) from cut join marks on stop <= at + (select capacity from best) where at < (select total from whole) group by nth
+  select nth + 1, max(stop) from cut join marks on stop <= here + (select capacity from best) where here < (select total from whole) group by nth
 ), placed as (
-  select key, (select count(*) from heavy) + (select count(*) from cut where nth > 0 and at <= stop - bytes) as shard from line
+  select key, (select count(*) from heavy) + (select count(*) from cut where nth > 0 and here <= stop - bytes) as shard from line
   union all select key, nth from heavy
 )
 select doc_id, size, text_crc32, 'bytes' as law, cast(shard as integer) as shard,

@@ -15,5 +15,5 @@ def _table() -> list[int]:
 def crc32(expr: str) -> str:
     """Unsigned CRC-32 of the UTF-8 bytes of the text ``expr``, byte by byte."""
     table = "[" + ",".join(map(str, _table())) + "]::bigint[]"
-    data = f"list_transform(range(octet_length(encode({expr}))), lambda k: ('0x' || substr(hex(encode({expr})), 2 * k + 1, 2))::bigint)"
+    data = f"list_transform(regexp_extract_all(hex(encode({expr})), '..'), lambda x: ('0x' || x)::bigint)"
     return f"xor(4294967295::bigint, list_reduce({data}, lambda a, b: xor(a >> 8, ({table})[xor(a & 255, b) + 1]), 4294967295::bigint))"
