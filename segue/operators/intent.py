@@ -173,7 +173,7 @@ def energy_match(energy: Column, low: Column, high: Column, moods: Column, activ
     return F.when(low.isNull() & high.isNull(), implied).when(gap <= 0, 1.0).otherwise(clip(1 - gap / 0.5))
 
 
-def _widen(themes: Column, moods: Column) -> tuple[Column, Column]:
+def widened(themes: Column, moods: Column) -> tuple[Column, Column]:
     """Labels plus what the bounded scores imply."""
     c = F.col
     party, hope, sad, love = (c("party_context") >= 0.55) | (c("celebration") >= 0.55), c("hopefulness") >= 0.55, c("sadness") >= 0.55, c("romance") >= 0.55
@@ -207,7 +207,7 @@ def score(pairs: DataFrame, strong_audio: float = 0.35) -> DataFrame:
     none = labels()
     arr = lambda f: F.coalesce(c(f), none)
     has_m, has_s = c("meaning_confidence").isNotNull(), c("semantic_confidence").isNotNull()
-    themes, moods = _widen(F.concat(arr("primary_themes"), arr("secondary_themes")), arr("lyrical_moods"))
+    themes, moods = widened(F.concat(arr("primary_themes"), arr("secondary_themes")), arr("lyrical_moods"))
     trans = F.coalesce(c("transcription_confidence"), F.lit(0.0))
     d = pairs.select(
         "*",

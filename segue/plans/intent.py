@@ -10,6 +10,7 @@ from segue.functions.basic import clip, r6, snap
 from segue.functions.vocab import ACTIVITIES, MOODS
 from segue.operators import intent as ops
 from segue.operators import lyrics as lyr
+from segue.operators import ranking
 from segue.plans import _sql as S
 from segue.plans.evidence import LABELS
 from segue.plans.lyrics import KM, TEST_TERMS
@@ -69,18 +70,31 @@ def track_evidence(t: Tables) -> DataFrame:
     )
 
 
-PR = "pr as (select distinct o.o_custkey as request_id, l.l_partkey as track_id from orders o join lineitem l on l.l_orderkey = o.o_orderkey)"
+#: Tracks a request gets from the library. So many of the shortest tracks last longer than the longest target.
+TOP = 40
+#: Mood score from which a mood counts as heard; vectors of the test tables are flat.
+HEARD = 0.2
+PR = "pr as (select c_custkey as request_id, p_partkey as track_id from customer, part)"
+OWN = "pr as (select distinct o.o_custkey as request_id, l.l_partkey as track_id from orders o join lineitem l on l.l_orderkey = o.o_orderkey)"
 
 
-def _pairs(t: Tables) -> DataFrame:
-    """Each request against the tracks its owner's sets hold."""
+def scored_tracks(t: Tables) -> DataFrame:
+    """The best tracks of the whole library for each request, with all parts of their scores and their rank."""
+    evidence = track_evidence(t)
+    top = ranking.top_tracks(_intents(t), evidence, TOP, HEARD).select("request_id", "track_id", "rank")
+    return ops.score(top.join(_intents(t), "request_id").join(evidence, "track_id"), HEARD)
+
+
+def owned_pairs(t: Tables) -> DataFrame:
+    """Requests and the tracks that their owners' sets hold."""
     owner = t.raw("orders").select(_c("o_orderkey").alias("set_id"), _c("o_custkey").alias("request_id"))
     items = t.raw("lineitem").select(_c("l_orderkey").alias("set_id"), _c("l_partkey").alias("track_id"))
     return owner.join(items, "set_id").select("request_id", "track_id").distinct()
 
 
-def scored_pairs(t: Tables) -> DataFrame:
-    return ops.score(_pairs(t).join(_intents(t), "request_id").join(track_evidence(t), "track_id"), 0.2)
+def scored_items(t: Tables) -> DataFrame:
+    """Each request against the tracks of its own sets."""
+    return ops.score(owned_pairs(t).join(_intents(t), "request_id").join(track_evidence(t), "track_id"), HEARD)
 
 
 def _lm(avail, want, prim=None):
@@ -103,7 +117,7 @@ _OPP = " or ".join(f"(list_contains(requested, '{k}') and list_has_any(observed,
 _HEARD = "list_concat(map_keys(map_from_entries(list_filter(map_entries(mood), lambda e: e.value >= 0.2))), map_keys(map_from_entries(list_filter(map_entries(act), lambda e: e.value >= 0.2))))"
 _EM = """case when energy_min is null and energy_max is null then case when list_has_any(list_concat(desired_moods, desired_activity), ['happy','euphoric','dance','party','workout']) then least(1, mean_energy / 0.75::double) when list_has_any(desired_moods, ['sad','melancholic','calm','dark']) or list_contains(desired_activity, 'relaxing') then greatest(0, least(1, 1 - mean_energy)) else 0.5::double end
  when greatest(energy_min - mean_energy, mean_energy - energy_max) <= 0 then 1.0::double else greatest(0, least(1, 1 - greatest(energy_min - mean_energy, mean_energy - energy_max) / 0.5::double)) end"""
-SCORE = f"""{KM}, {TRK}, {IT}, {PR},
+_SCORED = f"""{KM}, {TRK}, {IT}, PAIRS,
 j as (select pr.request_id, it.* exclude (request_id), tk.* from pr join it using (request_id) join tk using (track_id)),
 j1 as (select *, mc is not null as hm, sc is not null as hs, case when mc is null then [] else list_distinct(list_concat(p, s2, case when party >= 0.55 then ['party','celebration'] else [] end, case when hopefulness >= 0.55 then ['hope'] else [] end, case when sadness >= 0.55 then ['loss','heartbreak'] else [] end, case when romance >= 0.55 then ['love','romance'] else [] end)) end as th,
  case when mc is null then [] else list_distinct(list_concat(lm, case when party >= 0.55 then ['happy','celebratory'] else [] end, case when hopefulness >= 0.55 then ['hopeful'] else [] end, case when sadness >= 0.55 then ['sad','melancholic'] else [] end, case when romance >= 0.55 then ['romantic'] else [] end)) end as mo,
@@ -124,18 +138,20 @@ j5 as (select *, case when mreq and sure then case when penalty >= 0.8 then 'con
 j6 as (select *, case when mreq and sure then 0.62::double * lyric + case when areq then 0.16::double * am + 0.1::double * ac else 0 end + 0.07::double * em + 0.05::double * tj
   when mreq then (0.24::double + 0.1::double * am + 0.08::double * ac + 0.08::double * em) * greatest(0.65::double, 1 - 0.35::double * (1 - reliability)) when areq then 0.62::double * am + 0.2::double * ac + 0.13::double * em + 0.05::double * tj else 0.5::double end - 0.62::double * penalty as base from j5),
 sc1 as (select *, round({S.clip("case when status = 'contradiction' and sure then least(base, 0.18::double) when status = 'unknown' then least(base, 0.48::double) else base end")} + 1e-9, 6) as score, cast(case status when 'strong' then 3 when 'partial' then 2 when 'unknown' then 1 else 0 end as bigint) as status_rank from j6)"""
+SCORE, SCORE_OWN = _SCORED.replace("PAIRS", PR), _SCORED.replace("PAIRS", OWN)
+RANKED = f"{SCORE}, rs as (select *, row_number() over (partition by request_id order by status_rank desc, score desc, track_id) as rank from sc1 qualify rank <= {TOP})"
 _BASE = "lyrics semantic tracks lyric_rows semantic_rows"
 
 
-@query("intent_score", _BASE, f", {SCORE} select request_id, track_id, status, round(tm, 6) as theme_match, round(mm, 6) as mood_match, round(am, 6) as audio_match, round(ac, 6) as activity_match, round(em + 1e-9, 6) as energy_match, penalty, round(reliability + 1e-9, 6) as reliability, score from sc1")
+@query("intent_score", _BASE, f", {RANKED} select request_id, track_id, status, round(tm, 6) as theme_match, round(mm, 6) as mood_match, round(am, 6) as audio_match, round(ac, 6) as activity_match, round(em + 1e-9, 6) as energy_match, penalty, round(reliability + 1e-9, 6) as reliability, score from rs")
 def intent_score(t: Tables) -> DataFrame:
-    return scored_pairs(t).select("request_id", "track_id", "status", r6(_c("theme_match")).alias("theme_match"), r6(_c("mood_match")).alias("mood_match"), r6(_c("audio_match")).alias("audio_match"),
+    return scored_tracks(t).select("request_id", "track_id", "status", r6(_c("theme_match")).alias("theme_match"), r6(_c("mood_match")).alias("mood_match"), r6(_c("audio_match")).alias("audio_match"),
                                   r6(_c("activity_match")).alias("activity_match"), snap(_c("energy_match"), 6).alias("energy_match"), "penalty", snap(_c("reliability"), 6).alias("reliability"), "score")
 
 
-@query("intent_rank", _BASE, f", {SCORE} select request_id, track_id, status, score, row_number() over (partition by request_id order by status_rank desc, score desc, track_id) as rank from sc1")
+@query("intent_rank", _BASE, f", {RANKED} select request_id, track_id, status, score, rank from rs")
 def intent_rank(t: Tables) -> DataFrame:
-    return ops.rank(scored_pairs(t)).select("request_id", "track_id", "status", "score", "rank")
+    return scored_tracks(t).select("request_id", "track_id", "status", "score", "rank")
 
 
 POOL = f"""{SCORE}, rk as (select *, row_number() over (partition by request_id order by status_rank desc, score desc, track_id) as rank, duration_sec * 0.9::double as eff, coalesce(regexp_matches(lower(raw_text), 'only|avoid|exclude|never|without'), len(avoid_themes) + len(avoid_lyrical_moods) + len(avoid_moods) > 0) as excludes from sc1),
@@ -145,25 +161,37 @@ pool as (select *, case when not anyq then 'all' when status in ('strong','parti
  when status = 'contradiction' and not excludes and nk + nu < 2 and (nk + nu + ic < 2 or dk + du + sco < target_sec) then 'last_resort' when status = 'contradiction' and excludes then 'excluded' else 'left_out' end as step from p0)"""
 
 
-def _pool(t: Tables) -> DataFrame:
-    s = scored_pairs(t)
+def _asks(d: DataFrame) -> DataFrame:
+    """Adds whether the request excludes explicitly and whether it asks for semantics."""
     listed = (F.size("avoid_themes") + F.size("avoid_lyrical_moods") + F.size("avoid_moods")) > 0
-    return ops.candidate_pool(s.withColumn("excludes", F.coalesce(F.lower("raw_text").rlike(ops.EXCLUDE_WORDS), listed)).withColumn("semantic", _c("_any")))
+    return d.withColumn("excludes", F.coalesce(F.lower("raw_text").rlike(ops.EXCLUDE_WORDS), listed)).withColumn("semantic", ops.requests_semantics())
+
+
+def _pool(t: Tables) -> DataFrame:
+    return ops.candidate_pool(_asks(scored_tracks(t)))
 
 
-@query("candidate_pool", _BASE, f", {POOL} select request_id, track_id, status, score, rank, step from pool")
+@query("candidate_pool", _BASE, f", {POOL} select request_id, track_id, status, score, rank, step from pool where rank <= {TOP}")
 def candidate_pool(t: Tables) -> DataFrame:
+    """The best TOP tracks of the library for each request, and how each gets into its pool."""
     return _pool(t).select("request_id", "track_id", "status", "score", "rank", "step")
 
 
 @query("excluded_minus_pool", _BASE, f", {POOL} select request_id, count(*) filter (where step in ('all','match','two_tracks','duration','variety','last_resort')) as n_pool, count(*) filter (where step = 'excluded') as n_excluded, count(*) filter (where step in ('two_tracks','duration','variety','last_resort')) as n_fallback, count(*) filter (where step = 'left_out') as n_left from pool group by 1")
 def excluded_minus_pool(t: Tables) -> DataFrame:
-    n = lambda *s: F.count_if(_c("step").isin(*s))
-    return _pool(t).groupBy("request_id").agg(n("all", "match", "two_tracks", "duration", "variety", "last_resort").alias("n_pool"), n("excluded").alias("n_excluded"),
-                                              n("two_tracks", "duration", "variety", "last_resort").alias("n_fallback"), n("left_out").alias("n_left"))
-
-
-_COV = f"""{SCORE}, ci as (select l.l_orderkey as set_id, s.status, s.duration_sec from lineitem l join orders o on o.o_orderkey = l.l_orderkey join sc1 s on s.request_id = o.o_custkey and s.track_id = l.l_partkey),
+    """Sizes of pool, exclusions and the rest over the whole library. Tracks that relax a request lie among
+    its best TOP, which outlast any target; matches and contradictions are counted by status."""
+    n = lambda test: F.coalesce(F.sum(F.when(test, _c("n"))), F.lit(0)).cast("bigint")
+    totals = ranking.status_totals(_intents(t), track_evidence(t), HEARD).groupBy("request_id").agg(
+        n(F.lit(True)).alias("n_all"), n(_c("status_rank") >= 2).alias("known"), n(_c("status_rank") == 0).alias("against"))
+    steps = _pool(t).groupBy("request_id").agg(F.count_if(_c("step").isin("two_tracks", "duration", "variety", "last_resort")).alias("n_fallback"))
+    d = _asks(_intents(t)).join(totals, "request_id").join(steps, "request_id")
+    pool = F.when(_c("semantic"), _c("known") + _c("n_fallback")).otherwise(_c("n_all"))
+    out = F.when(_c("semantic") & _c("excludes"), _c("against")).otherwise(0).cast("bigint")
+    return d.select("request_id", pool.alias("n_pool"), out.alias("n_excluded"), "n_fallback", (_c("n_all") - pool - out).alias("n_left"))
+
+
+_COV = f"""{SCORE_OWN}, ci as (select l.l_orderkey as set_id, s.status, s.duration_sec from lineitem l join orders o on o.o_orderkey = l.l_orderkey join sc1 s on s.request_id = o.o_custkey and s.track_id = l.l_partkey),
 cv as (select set_id, count(*) as n, count(*) filter (where status = 'strong') as strong, count(*) filter (where status = 'partial') as partial, count(*) filter (where status = 'unknown') as unknown, count(*) filter (where status = 'contradiction') as contradiction, sum(duration_sec) as selected_sec from ci group by 1),
 cw as (select *, round((strong + 0.6::double * partial) / n + 1e-9, 3) as coverage, case when round((strong + 0.6::double * partial) / n, 9) >= 0.6 then 'Good' else 'Limited' end as g from cv)"""
 
@@ -171,7 +199,7 @@ cw as (select *, round((strong + 0.6::double * partial) / n + 1e-9, 3) as covera
 def _covered_sets(t: Tables) -> DataFrame:
     owner = t.raw("orders").select(_c("o_orderkey").alias("set_id"), _c("o_custkey").alias("request_id"))
     items = t.raw("lineitem").select(_c("l_orderkey").alias("set_id"), _c("l_partkey").alias("track_id")).join(owner, "set_id")
-    return items.join(scored_pairs(t).select("request_id", "track_id", "status", "duration_sec"), ["request_id", "track_id"])
+    return items.join(scored_items(t).select("request_id", "track_id", "status", "duration_sec"), ["request_id", "track_id"])
 
 
 @query("intent_coverage", _BASE, f", {_COV} select set_id, n, strong, partial, unknown, contradiction, selected_sec, coverage, case when contradiction > 0 then 'Limited' when strong = n then 'Strong' else g end as label, case when strong = n then 'Strong' else g end as segment_label from cw")
@@ -200,7 +228,7 @@ def meaning_trajectory(t: Tables) -> DataFrame:
     return d.groupBy("set_id").agg(snap(F.when(F.max("n") < 2, 0.0).otherwise(F.avg(ops.trajectory_label(_c("lab"))) - 0.5), 6).alias("score"))
 
 
-@query("trajectory_support", _BASE + " set_items", f""", {SCORE}, ev as (select set_id, pos, s.track_id, hm and mc >= 0.6 as sure, {_tl("'hopeful'")} as v from set_items i join orders o on o.o_orderkey = i.set_id join sc1 s on s.request_id = o.o_custkey and s.track_id = i.track_id)
+@query("trajectory_support", _BASE + " set_items", f""", {SCORE_OWN}, ev as (select set_id, pos, s.track_id, hm and mc >= 0.6 as sure, {_tl("'hopeful'")} as v from set_items i join orders o on o.o_orderkey = i.set_id join sc1 s on s.request_id = o.o_custkey and s.track_id = i.track_id)
 select set_id, bool_or(sure and v >= 0.8) as endpoint_available, arg_max(v, pos) >= 0.8 as ended_there, bool_or(sure and v >= 0.8) and arg_max(v, pos) >= 0.8 as supported from ev group by 1""")
 def trajectory_support(t: Tables) -> DataFrame:
     d = t.set_items().select("set_id", "pos", "track_id").join(track_evidence(t), "track_id").withColumn("v", ops.trajectory_label(F.lit("hopeful")))
@@ -216,10 +244,31 @@ def label_match(t: Tables) -> DataFrame:
                     r6(V.label_match(_c("lyrical_moods"), ops.labels("sad", "happy", "angry"))).alias("mood"))
 
 
-@query("energy_match", "tracks", f", {IT}, {PR} select pr.request_id, pr.track_id, round({_EM} + 1e-9, 6) as score from pr join it using (request_id) join tracks using (track_id)")
+@query("energy_match", "tracks", f""", {IT}, {PR}, e as (select pr.request_id, pr.track_id, round({_EM} + 1e-9, 6) as score from pr join it using (request_id) join tracks using (track_id))
+select request_id, track_id, score from e qualify row_number() over (partition by request_id order by score desc, track_id) <= {TOP}""")
 def energy_match(t: Tables) -> DataFrame:
-    d = _pairs(t).join(_intents(t), "request_id").join(t.tracks().select("track_id", "mean_energy"), "track_id")
-    return d.select("request_id", "track_id", snap(ops.energy_match(_c("mean_energy"), _c("energy_min"), _c("energy_max"), _c("desired_moods"), _c("desired_activity")), 6).alias("score"))
+    """The TOP tracks of the library that fit the energy of each request best. Many requests ask for the same
+    energy, so each wish is met with each energy once, and an energy keeps its TOP least ids."""
+    from pyspark.sql import Window
+
+    wish = ["energy_min", "energy_max", "desired_moods", "desired_activity"]
+    intents = _intents(t).select("request_id", *wish)
+    heads = t.tracks().select("track_id", "mean_energy").withColumn("nth", F.row_number().over(Window.partitionBy("mean_energy").orderBy("track_id"))).where(_c("nth") <= TOP).drop("nth")
+    levels = heads.groupBy(F.floor(_c("mean_energy") * 1000).alias("level")).agg(F.min("mean_energy").alias("low"), F.max("mean_energy").alias("high"), F.count("*").alias("n"), F.min("track_id").alias("first_id"))
+    wishes = intents.select(*wish).distinct().withColumn("wish", F.xxhash64(*wish))
+    best = lambda e: snap(ops.energy_match(_c(e), _c("energy_min"), _c("energy_max"), _c("desired_moods"), _c("desired_activity")), 6)
+    # the score rises to the asked range and falls behind it, so its greatest value on a level is at an end or is 1
+    inside = (F.coalesce("energy_min", F.lit(0.0)) <= _c("high")) & (F.coalesce("energy_max", F.lit(1.0)) >= _c("low")) & (_c("energy_min").isNotNull() | _c("energy_max").isNotNull())
+    met = wishes.crossJoin(F.broadcast(levels)).withColumn("most", F.when(inside, 1.0).otherwise(F.greatest(best("low"), best("high"))))
+    order = Window.partitionBy("wish").orderBy(F.desc("most"), "level")
+    # a level is left out once TOP tracks lie on levels whose least score is no less than its greatest
+    met = met.withColumn("least", F.least(best("low"), best("high"))).withColumn("sure", F.sum("n").over(Window.partitionBy("wish").orderBy(F.desc("least")).rangeBetween(Window.unboundedPreceding, 0)))
+    bar = met.groupBy("wish").agg(F.max(F.when(_c("sure") >= TOP, _c("least"))).alias("bar"))
+    near = met.join(bar, "wish").where(_c("bar").isNull() | (_c("most") >= _c("bar"))).select("wish", *wish, "level")
+    d = near.join(heads.withColumn("level", F.floor(_c("mean_energy") * 1000)), "level").withColumn("score", best("mean_energy"))
+    top = Window.partitionBy("wish").orderBy(F.desc("score"), "track_id")
+    d = d.withColumn("rank", F.row_number().over(top)).where(_c("rank") <= TOP).select("wish", "track_id", "score")
+    return intents.select("request_id", F.xxhash64(*wish).alias("wish")).join(d, "wish").select("request_id", "track_id", "score")
 
 
 @query("intent_requests_semantics", "", f"with {IT} select request_id, len(desired_themes) + len(avoid_themes) + len(desired_lyrical_moods) + len(avoid_lyrical_moods) + len(meaning_trajectory) + len(desired_moods) + len(avoid_moods) + len(desired_activity) > 0 as asks from it")
@@ -317,12 +366,16 @@ def start_preference(energy, profile):
 _PROFILE = "case request_id % 5 when 0 then 'warmup_to_peak' when 1 then 'slow_build' when 2 then 'steady' when 3 then 'wave' else 'cooldown' end"
 
 
-@query("openers", _BASE, f""", {PR}, q as (select request_id, track_id, mean_energy as e, {_PROFILE} as energy_profile from pr join tracks using (track_id)), s as (select request_id, track_id, round({_START} - case when track_id % 10 = 0 then 0.14::double else 0 end + 1e-9, 6) as score from q),
-r as (select *, row_number() over (partition by request_id order by score desc, track_id) as rank from s) select * from r where rank <= 15""")
+@query("openers", "tracks", f""", q as (select distinct {_PROFILE} as energy_profile from (select c_custkey as request_id from customer)), s as (select energy_profile, track_id, round({_START} - case when track_id % 10 = 0 then 0.14::double else 0 end + 1e-9, 6) as score from q, (select track_id, mean_energy as e from tracks)),
+r as (select *, row_number() over (partition by energy_profile order by score desc, track_id) as rank from s qualify rank <= 15) select c_custkey as request_id, track_id, score, rank from customer join r on r.energy_profile = {_PROFILE.replace('request_id', 'c_custkey')}""")
 def openers(t: Tables) -> DataFrame:
+    """The 15 best openers of the library for each request. Only the energy profile decides, so each profile ranks the tracks once."""
     from pyspark.sql import Window
 
-    d = _pairs(t).join(t.tracks().select("track_id", "mean_energy"), "track_id").withColumn("p", F.expr(_PROFILE))
-    s = snap(start_preference(_c("mean_energy"), _c("p")) - F.when(_c("track_id") % 10 == 0, 0.14).otherwise(0.0), 6)
-    w = Window.partitionBy("request_id").orderBy(F.desc("score"), "track_id")
-    return d.select("request_id", "track_id", s.alias("score")).withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 15")
+    requests = t.raw("customer").select(_c("c_custkey").alias("request_id")).withColumn("profile", F.expr(_PROFILE))
+    profiles = F.explode(F.array(*[F.lit(p) for p in ("warmup_to_peak", "slow_build", "steady", "wave", "cooldown")]))
+    d = t.tracks().select("track_id", "mean_energy", profiles.alias("profile"))
+    s = snap(start_preference(_c("mean_energy"), _c("profile")) - F.when(_c("track_id") % 10 == 0, 0.14).otherwise(0.0), 6)
+    w = Window.partitionBy("profile").orderBy(F.desc("score"), "track_id")
+    best = d.select("profile", "track_id", s.alias("score")).withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 15")
+    return requests.join(best, "profile").select("request_id", "track_id", "score", "rank")

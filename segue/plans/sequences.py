@@ -10,7 +10,7 @@ from segue.functions.basic import lookup, r6, snap
 from segue.operators import sequences as ops
 from segue.operators import sets as set_ops
 from segue.plans import _sql as S
-from segue.plans.intent import PR, _pairs, start_preference
+from segue.plans.intent import OWN as PR, owned_pairs as _pairs, start_preference
 from segue.plans.sets import ORDER_SQL, SI, _items, order_check
 from segue.plans.structure import _segments, shortlist
 from segue.plans.transitions import SEARCH_SQL, transition_search
