@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from segue.functions import pair as P
 from segue.functions.basic import lookup, r6, snap
+from segue.operators import feedback as fb
+from segue.operators import ranking
 from segue.operators import sequences as ops
 from segue.operators import sets as set_ops
 from segue.plans import _sql as S
-from segue.plans.intent import OWN as PR, owned_pairs as _pairs, start_preference
+from segue.plans.intent import _BASE, _PROFILE, HEARD, RANKED, TOP, _intents, start_preference, track_evidence
 from segue.plans.sets import ORDER_SQL, SI, _items, order_check
 from segue.plans.structure import _segments, shortlist
 from segue.plans.transitions import SEARCH_SQL, transition_search
@@ -19,12 +21,16 @@ from segue.session import cut_lineage
 from segue.sources.tables import Tables
 
 _c = F.col
-#: Paths kept per request and tracks after the opener; both bound the state, whatever the pool.
-WIDTH, STEPS = 15, 7
+#: Paths kept per request; a path grows until it meets the request's target or the pool is used up.
+WIDTH = 15
 
 
 def _pool(t: Tables) -> DataFrame:
-    return _pairs(t).join(t.tracks().select("track_id", *ops.TRACK), "track_id")
+    """The best tracks of the library for each request, with its features and what feedback adds to it."""
+    best = ranking.top_tracks(_intents(t), track_evidence(t), TOP, HEARD).select("request_id", "track_id")
+    liked = fb.feedback_state(t.feedback()).select("track_id", "liked")
+    taste = F.when(_c("liked") == 1, 0.08).when(_c("liked") == -1, -0.12).otherwise(0.0)
+    return cut_lineage(best.join(t.tracks().select("track_id", *ops.TRACK), "track_id").join(liked, "track_id", "left").withColumn("taste", taste).drop("liked"))
 
 
 def _openers(t: Tables, pool: DataFrame) -> DataFrame:
@@ -35,48 +41,42 @@ def _openers(t: Tables, pool: DataFrame) -> DataFrame:
     return pool.select("request_id", "track_id", s.alias("start")).withColumn("r", F.row_number().over(w)).where(_c("r") <= WIDTH).drop("r").join(goals, "request_id")
 
 
-def _ext_sql(b: str, x: str) -> str:
-    """Extensions of the paths in ``b``; with a prefix ``x``, tracks and edges of the first result cost extra."""
-    bad = f" - case when exists (select 1 from {x}used u where u.request_id = b.request_id and u.track_id = p.track_id) then 0.1::double else 0 end" if x else ""
-    edge = f" - case when exists (select 1 from {x}edges g where g.request_id = b.request_id and g.src = b.path[-1] and g.dst = p.track_id) then 0.18::double else 0 end" if x else ""
-    return f"""select b.request_id, b.goal, list_concat(b.path, [p.track_id]) as path, list_concat(b.en, [p.mean_energy]) as en,
- b.score + least(1, greatest(0, {S.overall('b.a_', 'p.')}{edge})) + greatest(0, 1 - abs(p.mean_energy - b.a_mean_energy) * 2) * 0.1::double{bad} as score,
- b.dur + p.duration_sec - least(16 * 240 / greatest((b.a_bpm + p.bpm) / 2, 60), p.duration_sec * 0.5::double) as dur,
- p.bpm as a_bpm, p.camelot as a_camelot, p.mean_energy as a_mean_energy, p.spectral_centroid as a_spectral_centroid
- from {b} b join pool p on p.request_id = b.request_id and not list_contains(b.path, p.track_id)"""
-
-
-_RANK = "row_number() over (partition by request_id order by round(score / len(path), 9) desc, array_to_string(path, ','))"
-
-
 def _beam_sql(x: str = "") -> list[str]:
-    """One beam search as CTEs named with prefix ``x``; the result is ``{x}bs`` where rn = 1."""
-    fine = f" - case when exists (select 1 from {x}used u where u.request_id = o.request_id and u.track_id = o.track_id) then 0.14::double else 0 end" if x else ""
-    first = f"""{x}b0 as (select o.request_id, goal, [o.track_id] as path, [mean_energy] as en, 0.35::double * (st{fine}) as score, duration_sec as dur,
- bpm as a_bpm, camelot as a_camelot, mean_energy as a_mean_energy, spectral_centroid as a_spectral_centroid from o1 o where r <= {WIDTH})"""
-    out = [first]
-    for i in range(1, STEPS + 1):
-        out += [f"{x}e{i} as ({_ext_sql(f'{x}b{i - 1}', x)})",
-                f"{x}k{i} as (select * from (select *, {_RANK} as rk from {x}e{i}) where rk <= {3 * WIDTH})",
-                f"{x}b{i} as (select * exclude (rk, rk2) from (select *, {_RANK} as rk2 from {x}k{i} where dur < goal) where rk2 <= {WIDTH})"]
-    ends = [f"select request_id, goal, path, en, score, dur from {x}k{i} where dur >= goal" for i in range(1, STEPS + 1)]
-    stuck = [f"select request_id, goal, path, en, score, dur from {x}b{i - 1} where request_id not in (select request_id from {x}k{i})" for i in range(1, STEPS + 1)]
-    fin = " union all ".join([*ends, *stuck, f"select request_id, goal, path, en, score, dur from {x}b{STEPS}"])
-    return [*out, f"{x}fin as ({fin})", f"""{x}sc as (select *, 0.6::double * score / len(path) + 0.15::double * (1 - abs(dur - goal) / goal)
- + 0.25::double * case when len(path) < 3 then 0 else 0.15::double - 2 * list_aggregate(en, 'var_pop') end as k from {x}fin),
+    """One beam search as CTEs named with prefix ``x``, as a recursion over steps; the result is ``{x}bs`` where rn = 1.
+    With a prefix, tracks and edges of the first result cost extra."""
+    held = lambda cost, who: f" - case when exists (select 1 from {x}used u where u.request_id = {who}.request_id and u.track_id = {who}.track_id) then {cost}::double else 0 end" if x else ""
+    edge = f" - case when exists (select 1 from {x}edges g where g.request_id = b.request_id and g.src = b.path[-1] and g.dst = p.track_id) then 0.18::double else 0 end" if x else ""
+    rank = "row_number() over (partition by request_id order by round(score / len(path), 9) desc, array_to_string(path, ','))"
+    return [f"""{x}walk as (
+ select o.request_id, o.goal, [o.track_id] as path, [o.mean_energy] as en, 0.35::double * (o.st{held(0.14, 'o')}) as score, o.duration_sec as dur,
+  o.bpm as a_bpm, o.camelot as a_camelot, o.mean_energy as a_mean_energy, o.spectral_centroid as a_spectral_centroid, false as fin from o1 o where r <= {WIDTH}
+ union all
+ (with e as (select b.request_id, b.goal, list_concat(b.path, [p.track_id]) as path, list_concat(b.en, [p.mean_energy]) as en,
+   b.score + least(1, greatest(0, {S.overall('b.a_', 'p.')}{edge} + p.taste)) + greatest(0, 1 - abs(p.mean_energy - b.a_mean_energy) * 2) * 0.1::double{held(0.1, 'p')} as score,
+   b.dur + p.duration_sec - least(16 * 240 / greatest((b.a_bpm + p.bpm) / 2, 60), p.duration_sec * 0.5::double) as dur,
+   p.bpm as a_bpm, p.camelot as a_camelot, p.mean_energy as a_mean_energy, p.spectral_centroid as a_spectral_centroid
+   from {x}walk b join pool p on p.request_id = b.request_id and not list_contains(b.path, p.track_id) where not b.fin),
+  k as (select * from e qualify {rank} <= {3 * WIDTH})
+  select request_id, goal, path, en, score, dur, a_bpm, a_camelot, a_mean_energy, a_spectral_centroid, true as fin from k where dur >= goal
+  union all select * exclude (fin), true from {x}walk w where not fin and request_id not in (select request_id from k)
+  union all (select request_id, goal, path, en, score, dur, a_bpm, a_camelot, a_mean_energy, a_spectral_centroid, false from k where dur < goal qualify {rank} <= {WIDTH}))),
+{x}sc as (select *, 0.6::double * score / len(path) + 0.15::double * (1 - abs(dur - goal) / goal)
+ + 0.25::double * case when len(path) < 3 then 0 else 0.15::double - 2 * list_aggregate(en, 'var_pop') end as k from {x}walk where fin),
 {x}bs as (select *, row_number() over (partition by request_id order by round(k, 9) desc, array_to_string(path, ',')) as rn from {x}sc)"""]
 
 
-_BEAM = [PR, "pool as (select pr.request_id, r.target_duration_sec as goal, t.* from pr join tracks t using (track_id) join requests r using (request_id))",
+_BEAM = [RANKED.removeprefix(", "), "taste as (select track_id, arg_max(case action when 'like' then 1 else -1 end, (ts, event_id)) filter (where action <> 'play') as liked from feedback group by track_id)",
+         "pool as (select rs.request_id, r.target_duration_sec as goal, t.*, case liked when 1 then 0.08::double when -1 then -0.12::double else 0.0::double end as taste from rs join tracks t using (track_id) join requests r on r.request_id = rs.request_id left join taste using (track_id))",
          "op as (select *, round(0.5::double + (1 - abs(mean_energy - 0.5::double)) * 0.5::double + 1e-9, 6) as st from pool)",
          "o1 as (select *, row_number() over (partition by request_id order by st desc, track_id) as r from op)", *_beam_sql()]
 _PATH = "array_to_string(path, ',') as path, round(score + 1e-9, 6) as score, round(dur + 1e-9, 6) as duration_sec"
 
 
-@query("beam_sequences", "tracks requests", f", {', '.join(_BEAM)} select request_id, {_PATH} from bs where rn = 1")
+@query("beam_sequences", f"{_BASE} requests feedback", f", {', '.join(_BEAM)} select request_id, {_PATH} from bs where rn = 1", recursive=True)
 def beam_sequences(t: Tables) -> DataFrame:
+    """A path through the best tracks of the library for each request, as long as its target asks for."""
     pool = _pool(t)
-    b = ops.beam_sequences(_openers(t, pool), pool, STEPS, WIDTH)
+    b = ops.beam_sequences(_openers(t, pool), pool, width=WIDTH)
     return b.select("request_id", F.concat_ws(",", "path").alias("path"), snap(_c("score"), 6).alias("score"), snap(_c("dur"), 6).alias("duration_sec"))
 
 
@@ -84,44 +84,59 @@ _AGAIN = [*_BEAM, "zused as (select request_id, unnest(path) as track_id from bs
           "zedges as (select request_id, path[i] as src, path[i + 1] as dst from bs, lateral (select unnest(range(1, len(path))) as i) where rn = 1)", *_beam_sql("z")]
 
 
-@query("sequence_regenerate", "tracks requests", f", {', '.join(_AGAIN)} select request_id, {_PATH} from zbs where rn = 1")
+@query("sequence_regenerate", f"{_BASE} requests feedback", f", {', '.join(_AGAIN)} select request_id, {_PATH} from zbs where rn = 1", recursive=True)
 def sequence_regenerate(t: Tables) -> DataFrame:
     """Search again with the previous result's tracks and edges penalised."""
     pool = _pool(t)
-    first = cut_lineage(ops.beam_sequences(_openers(t, pool), pool, STEPS, WIDTH))
+    first = cut_lineage(ops.beam_sequences(_openers(t, pool), pool, width=WIDTH))
     used = first.select("request_id", F.explode("path").alias("track_id"))
     steps = F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda src, i: F.struct(src.alias("src"), F.get("path", i + 1).alias("dst")))
     edges = first.select("request_id", F.inline(steps))
     penalty = used.withColumn("bad", F.lit(0.14))
     openers = _openers(t, pool).join(penalty, ["request_id", "track_id"], "left").withColumn("start", _c("start") - F.coalesce("bad", F.lit(0.0))).drop("bad")
-    b = ops.beam_sequences(openers, pool, STEPS, WIDTH, avoid_tracks=used, avoid_edges=edges)
+    b = ops.beam_sequences(openers, pool, width=WIDTH, avoid_tracks=used, avoid_edges=edges)
     return b.select("request_id", F.concat_ws(",", "path").alias("path"), snap(_c("score"), 6).alias("score"), snap(_c("dur"), 6).alias("duration_sec"))
 
 
 def _request_segments(t: Tables) -> DataFrame:
-    seg = shortlist(_segments(t), 8, 2).select(_c("track_id").alias("cid"), "segment_id", "s", "e", "role", "quality")
-    pool = _pairs(t).join(t.tracks().select("track_id", "mean_energy"), "track_id").withColumn("cid", _c("track_id") % t.n_curves())
-    return pool.join(seg, "cid").select("request_id", "track_id", F.concat_ws(":", "track_id", "segment_id").alias("segment_id"), "s", "e", "role", "quality", _c("mean_energy").alias("energy"))
+    """Segments of the best library tracks of each request, with how well the track meets it."""
+    seg = shortlist(_segments(t)).select(_c("track_id").alias("cid"), "segment_id", "s", "e", "role", "quality")
+    best = ranking.top_tracks(_intents(t), track_evidence(t), TOP, HEARD).select("request_id", "track_id", _c("score").alias("fit"))
+    features = t.tracks().select("track_id", "bpm", "camelot", "spectral_centroid", _c("mean_energy").alias("energy"), ((_c("track_id") % 10) / 10).alias("vocal"), ((_c("track_id") % 7) / 7).alias("bass"))
+    pool = best.join(features, "track_id").withColumn("cid", _c("track_id") % t.n_curves())
+    return cut_lineage(pool.join(seg, "cid").drop("cid").withColumn("segment_id", F.concat_ws(":", "track_id", "segment_id")))
+
+
+def _wishes(t: Tables) -> DataFrame:
+    """Style, length and words of each request."""
+    r = t.requests().select("request_id", _c("target_duration_sec").alias("target"), F.expr(_AV.format(x="request_id")).alias("style"), F.expr(_PROFILE).alias("profile"))
+    return r.join(_intents(t).select("request_id", "raw_text", (F.size("desired_themes") + F.size("desired_lyrical_moods") > 0).alias("meaning")), "request_id")
 
 
 @query("segment_sequences")
 def segment_sequences(t: Tables) -> DataFrame:
+    """A segment performance for each request, of as many appearances as its style and target ask for."""
     seg = _request_segments(t)
-    g = ops.greedy_segments(seg.select("request_id").distinct(), seg, 3)
+    n = seg.groupBy("request_id").agg(F.count_distinct("track_id").alias("n"))
+    r = _wishes(t).join(n, "request_id").select("request_id", "style", "profile", ops.appearance_count(_c("style"), _c("target"), _c("n")).alias("count"), "target", ops.variety_target(_c("style"), _c("target"), _c("n")).alias("unique"))
+    r = r.withColumn("each", _c("target") / F.greatest(_c("count") - 0.15 * (_c("count") - 1), F.lit(1.0)))
+    g = ops.greedy_segments(r, seg)
     return g.select("request_id", F.concat_ws(",", "used").alias("segments"), r6(_c("score")).alias("score"))
 
 
 @query("role_beam")
 def role_beam(t: Tables) -> DataFrame:
-    """Three roles per request over at most eight options each."""
+    """A role plan for each request: its own roles, by style, length and words, over the best options of each role and track."""
     seg = _request_segments(t)
-    roles = ["INTRO", "BUILD", "PEAK"]
-    c = {"quality": _c("quality"), "duration_fit": 1 - F.least(F.lit(1.0), F.abs(_c("e") - _c("s") - 30) / 30), "meaning": F.lit(0.5), "sound": F.lit(0.5), "vocal": (_c("track_id") % 10) / 10, "energy": _c("energy"),
-         "bass": (_c("track_id") % 7) / 7, "section": _c("role")}
-    scored = seg.select("*", F.explode(F.array(*[F.lit(r) for r in roles])).alias("want")).withColumn("score", ops.role_score(_c("want"), c))
-    w = Window.partitionBy("request_id", "want").orderBy(F.desc(F.round("score", 9)), "segment_id")
-    options = scored.withColumn("rk", F.row_number().over(w)).where("rk <= 8").select("request_id", _c("want").alias("role"), "track_id", "segment_id", "score")
-    b = ops.role_beam(seg.select("request_id").distinct(), options, roles, 6)
+    coherence, callback = ops.priorities(_c("style"), _c("raw_text"), _c("meaning"))
+    wish = _wishes(t).select("request_id", ops.role_template(_c("style"), _c("target"), _c("raw_text")).alias("roles"), coherence.alias("coherence"), callback.alias("callback"), "target")
+    n = F.size("roles")
+    acts = wish.withColumn("act", _c("target") / F.greatest(n - 0.18 * (n - 1), F.lit(1.0)))
+    c = {"quality": _c("quality"), "duration_fit": 1 - F.least(F.lit(1.0), F.abs(_c("e") - _c("s") - _c("act")) / _c("act")), "meaning": _c("fit"), "sound": F.lit(0.5), "vocal": _c("vocal"), "energy": _c("energy"),
+         "bass": _c("bass"), "section": _c("role")}
+    scored = seg.join(acts.select("request_id", "act", F.explode(F.array_distinct("roles")).alias("want")), "request_id").withColumn("score", ops.role_score(_c("want"), c))
+    options = ops.role_options(scored.select("request_id", _c("want").alias("role"), "track_id", "segment_id", "s", "e", "energy", "quality", "vocal", "score"))
+    b = ops.role_beam(wish.select("request_id", "roles", "coherence", "callback"), options)
     return b.select("request_id", F.concat_ws(",", "path").alias("segments"), r6(_c("score")).alias("score"), _c("stays").cast("bigint").alias("stays"))
 
 

@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, tables: str = "", oracle: str | None = None):
+def query(name: str, tables: str = "", oracle: str | None = None, recursive: bool = False):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""
 
     def wrap(fn: Callable[[Tables], DataFrame]):
@@ -26,7 +26,7 @@ def query(name: str, tables: str = "", oracle: str | None = None):
 
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = with_tables(tables, oracle)
+            ORACLES[name] = with_tables(tables, oracle, recursive)
         return fn
 
     return wrap

@@ -305,10 +305,10 @@ CTE.update({name: f"select {', '.join(exprs)} from {base}" for name, (base, expr
 _NEEDS = {"handoffs": ["set_items"], "handoff_pairs": ["set_items", "handoffs", "tracks"]}
 
 
-def with_tables(names: str, body: str) -> str:
+def with_tables(names: str, body: str, recursive: bool = False) -> str:
     """SQL text: the named derivations as CTEs (space separated), then ``body``.
 
-    ``body`` may open with its own CTE list, marked by a leading comma.
+    ``body`` may open with its own CTE list, marked by a leading comma; ``recursive`` lets its CTEs use themselves.
     """
     ordered: list[str] = []
     for name in names.split():
@@ -317,4 +317,4 @@ def with_tables(names: str, body: str) -> str:
                 ordered.append(need)
     head = ",\n".join(f"{n} as ({CTE[n]})" for n in ordered)
     body = body.strip()
-    return f"with {head}\n{body}" if ordered else body
+    return f"with {'recursive ' if recursive else ''}{head}\n{body}" if ordered else body
