@@ -62,7 +62,7 @@ def _homes(pivots: dict):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, far = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, 2.0)
+            cell, far = np.full(batch.num_rows, -1, np.int32), np.full(batch.num_rows, 2.0)  # -1: no pivot of its kind
             for key, rows in _by_key(batch):
                 if key in pivots:
                     cos = _matrix(batch.column(2).take(pa.array(rows)), key[1]) @ pivots[key].T
@@ -88,7 +88,7 @@ def _members(pivots: dict, radius: dict, r: float):
             for key, rows in _by_key(batch):
                 if key not in pivots:
                     at.append(rows)
-                    cells.append(np.zeros(len(rows), np.int64))
+                    cells.append(np.full(len(rows), -1, np.int64))
                     continue
                 p = pivots[key]
                 cos = _matrix(batch.column(2).take(pa.array(rows)), key[1]) @ p.T
@@ -180,7 +180,8 @@ def range_links(folded: DataFrame, cosine: float = COSINE, cell_rows: int = CELL
         by_key.setdefault((row.label, row.dim), []).append(np.frombuffer(row.unit, np.float64))
     by_key = {k: np.stack(v) for k, v in by_key.items()}
     homes = saved(folded.select("label", "dim", "unit", "rep", "n").mapInArrow(_homes(by_key), f"{_schema(folded)}, home int, far double"), "homes")
-    sizes = homes.groupBy("label", "dim", "home").agg(F.max("far").alias("far")).collect()
+    # at most a row for each pivot, however many labels there are
+    sizes = homes.where("home >= 0").groupBy("label", "dim", "home").agg(F.max("far").alias("far")).collect()
     radius = {(s.label, s.dim, s.home): s.far for s in sizes}
     members = homes.mapInArrow(_members(by_key, radius, r), f"{_schema(folded)}, cell int, own boolean")
     members = saved(members, "members")
@@ -205,18 +206,21 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CE
     Vectors of equal labels link at ``cosine`` and above. Null, empty and zero vectors, vectors
     with null or non-finite components, and rows with a null id or label link with nothing;
     they are their own component. Vectors of different lengths never link. Equal vectors are
-    folded to their least id before the join; rows that share an id count as vectors of their
-    own. Other columns are ignored; an empty table gives no rows.
+    folded before the join; nodes are hashes of label and vector, so rows that share an id count
+    as vectors of their own, and a component has the least id of its rows. Other columns are ignored; an
+    empty table gives no rows.
     """
     kept = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     kind = kept.schema[1].dataType.simpleString()
     units = saved(kept.mapInArrow(_units, f"id long, label {kind}, dim int, unit binary"), "units")
-    folded = saved(units.where("unit is not null").groupBy("label", "dim", "unit").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "folded")
+    folded = units.where("unit is not null").groupBy("label", "dim", "unit").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    folded = saved(folded.withColumn("rep", F.xxhash64("label", "dim", "unit")), "folded")
     links = saved(range_links(folded, cosine, cell_rows, pivots, block), "links")
     known = components(links.where("other is not null"), "rep", "other")
     linked = links.where("other is null").groupBy("rep").agg((F.sum("linked") - 1).alias("n_links"))
     classes = folded.join(linked, "rep").join(known, folded.rep == known.node, "left")
-    classes = classes.select("label", "dim", "unit", "n_links", F.coalesce("component", "rep").alias("component_id"))
-    out = units.where("unit is not null").join(classes, ["label", "dim", "unit"]).select("id", "n_links", "component_id")
+    classes = classes.select("label", "dim", "unit", "low", "n_links", F.coalesce("component", "rep").alias("component"))
+    least = classes.groupBy("component").agg(F.min("low").alias("component_id"))
+    out = units.where("unit is not null").join(classes.join(least, "component"), ["label", "dim", "unit"]).select("id", "n_links", "component_id")
     alone = units.where("unit is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

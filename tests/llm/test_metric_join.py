@@ -63,3 +63,17 @@ def test_links_of_every_chunk_stay(spark):
     df = spark.createDataFrame([(int(i), 1, both[i].tolist()) for i in order], "vec_id long, label int, embedding array<double>")
     got = sorted(tuple(r) for r in metric_join.near_vectors(df, cell_rows=10**9).collect())
     assert got == [(i, 1, i - i % 2, i % 2 == 0) for i in range(2200)]
+
+
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 1, [-1.0, 0.0]), (3, 1, [0.0, 1.0])], "vec_id long, label int, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in metric_join.near_vectors(df).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False)]
+
+
+def test_many_labels(spark):
+    """Labels without a pivot, far more than pivots: each a pair of equal vectors and a stranger."""
+    rows = [(3 * k + i, k, [1.0, 0.0] if i < 2 else [0.0, 1.0]) for k in range(20_000) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    out = metric_join.near_vectors(df, pivots=8)
+    assert out.where("n_links = 1 and component_id = vec_id - vec_id % 3").count() == 40_000 and out.where("n_links = 0 and kept").count() == 20_000
