@@ -15,6 +15,7 @@ from segue.plans import _sql as S
 from segue.plans.evidence import LABELS
 from segue.plans.lyrics import KM, TEST_TERMS
 from segue.registry import query
+from segue.session import cut_lineage
 from segue.sources.tables import Tables
 
 _c = F.col
@@ -80,7 +81,7 @@ OWN = "pr as (select distinct o.o_custkey as request_id, l.l_partkey as track_id
 
 def scored_tracks(t: Tables) -> DataFrame:
     """The best tracks of the whole library for each request, with all parts of their scores and their rank."""
-    evidence = track_evidence(t)
+    evidence = cut_lineage(track_evidence(t))
     top = ranking.top_tracks(_intents(t), evidence, TOP, HEARD).select("request_id", "track_id", "rank")
     return ops.score(top.join(_intents(t), "request_id").join(evidence, "track_id"), HEARD)
 
