@@ -49,12 +49,12 @@ def grouped_phrase(idx: Column, bar_score: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.least(idx % 8, 8 - idx % 8) / 4) * bar_score
 
 
-def quality(c: DataFrame) -> DataFrame:
+def quality(c: DataFrame, floor: bool = True) -> DataFrame:
     """Thirteen components, weighted overall score, confidence and handoff facts of each candidate.
 
     Expects ``a_``/``b_`` track features and prefix sums (``n``, ``p_energy``, ``p_loud``, ``p_bass``),
     ``exit_t, entry_t, overlap, kind, style, vocals, profile, cursor, a_vocal, b_vocal, a_section,
-    b_section, confidence6, stems``.
+    b_section, confidence6, stems``. Without ``floor`` the trough counts as 0, which bounds the scores from above.
     """
     f = F.col
     keep = [x for x in c.columns if not x.startswith(("a_p_", "b_p_"))]
@@ -97,7 +97,7 @@ def quality(c: DataFrame) -> DataFrame:
         return F.struct(r["p"].alias("p"), mean("a", r["fa"], r["ha"], la).alias("da"), mean("b", r["fb"], r["hb"], lb).alias("db"))
 
     steps = F.transform(F.transform(F.sequence(F.lit(0), windows - 1), bounds), levels)
-    worst = F.greatest(F.lit(0.0), F.array_max(F.transform(steps, lambda r: Q.trough_db(r["p"], r["da"], r["db"], f("_la"), f("_lb"), f("kind")))))
+    worst = F.lit(0.0) if not floor else F.greatest(F.lit(0.0), F.array_max(F.transform(steps, lambda r: Q.trough_db(r["p"], r["da"], r["db"], f("_la"), f("_lb"), f("kind")))))
     ga, gb = Q.pair_gain(la, lb)
     up = lambda g: F.pow(F.lit(10.0), g / 20)
     d = d.select(

@@ -27,16 +27,24 @@ _VOC = "case when set_id % 3 = 0 then 'vocal_safe' else 'any' end"
 _PROF = "case set_id % 5 when 0 then 'warmup_to_peak' when 1 then 'slow_build' when 2 then 'steady' when 3 then 'cooldown' else 'wave' end"
 
 
-def _features(t: Tables) -> DataFrame:
-    """Handoffs with both tracks' features and curve prefix sums."""
+def curve_sums(t: Tables) -> DataFrame:
     low = F.least(F.lit(1.0), _c("n") / 4)
-    pre = ops.curve_prefix(t.curve(), {"energy": _c("level") / 500, "loud": 20 * F.log10(_c("level") / 500 + 1e-6), "bass": low})
-    side = lambda p, k: pre.select(_c("track_id").alias(k), *[_c(x).alias(f"{p}_{x}") for x in pre.columns if x != "track_id"])
-    h = t.handoff_pairs().select(
+    return ops.curve_prefix(t.curve(), {"energy": _c("level") / 500, "loud": 20 * F.log10(_c("level") / 500 + 1e-6), "bass": low})
+
+
+def handoff_facts(t: Tables) -> DataFrame:
+    """Handoffs with both tracks' features, curve keys and what their set asks for."""
+    return t.handoff_pairs().select(
         "*", (_c("src") % t.n_curves()).alias("ka"), (_c("dst") % t.n_curves()).alias("kb"), F.expr(_STYLE).alias("style"), F.expr(_VOC).alias("vocals"), F.expr(_PROF).alias("profile"),
         ((_c("a_mid_energy") + _c("b_mid_energy") + _c("a_low_energy") + _c("b_low_energy")) / 4).alias("confidence6"),
         ((_c("a_low_energy") > 0.3) & (_c("b_low_energy") > 0.3)).alias("stems"))
-    return h.join(side("a", "ka"), "ka", "left").join(side("b", "kb"), "kb", "left")
+
+
+def _features(t: Tables) -> DataFrame:
+    """Handoffs with both tracks' features and curve prefix sums."""
+    pre = curve_sums(t)
+    side = lambda p, k: pre.select(_c("track_id").alias(k), *[_c(x).alias(f"{p}_{x}") for x in pre.columns if x != "track_id"])
+    return handoff_facts(t).join(side("a", "ka"), "ka", "left").join(side("b", "kb"), "kb", "left")
 
 
 def _vocal(t: Tables, w: DataFrame, key: list[str], track: str, start: str, length: str, out: str) -> DataFrame:
