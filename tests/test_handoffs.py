@@ -46,3 +46,31 @@ def test_share_of_a_window_with_regions(spark):
     d = spark.sql("""select * from values (array(struct(0D as s, 4D as e), struct(3D as s, 5D as e), struct(20D as s, 30D as e)), 2D, 10D), (null, 0D, 5D), (array(struct(0D as s, 9D as e), struct(0D as s, 9D as e)), 0D, 8D),
  (array(struct(0D as s, 4D as e)), 1D, 0D) as v(r, s, l)""")
     assert [x[0] for x in d.select(ops.share_of(F.col("r"), F.col("s"), F.col("l"))).collect()] == [0.4, 0.0, 1.0, 0.0]
+
+
+def test_local_windows_are_rounded_from_whole_numbers(spark):
+    from fractions import Fraction as Fr
+    from math import floor
+
+    from segue.plans.transitions import _exact
+
+    rows = [(2, s1, n, 1, 2.0 * r) for s1, n, r in [(99999000, 24999000, 24999500), (49999000, -25001000, 49999000), (100000, 0, 0), (149998999, 2499499, 74999500)]] + [(1, 77, 0, 0, 0.0)]
+    d = spark.createDataFrame(rows, "a_k long, a_s1 long, a_num long, a_den long, a_root double").selectExpr("*", *_exact("a", "x", "div"))
+    half = lambda x, n: (1 if x >= 0 else -1) * floor(abs(x) * 10**n + Fr(1, 2)) / 10**n
+    nudge, unit = Fr(1, 10**9), 5 * 10**8
+    for r in d.collect():
+        assert r.x_energy == half(Fr(r.a_s1, r.a_k * unit) + nudge, 4)
+        assert r.x_rhythm == half(Fr(int(r.a_root), r.a_k * unit) + nudge, 4)
+        assert r.x_slope == (half(Fr(r.a_num, r.a_den * unit) + nudge, 5) if r.a_den else 0.0)
+
+
+def test_local_windows_join_no_points(spark):
+    for name in ("local_context", "local_context_score"):
+        assert "Generate" not in plan(spark, name), name
+
+
+def test_openers_rank_what_the_sets_of_a_request_hold(spark):
+    held = spark.sql(f"select distinct o_custkey, l_partkey from parquet.`{SF}/orders.parquet` join parquet.`{SF}/lineitem.parquet` on l_orderkey = o_orderkey")
+    best = plans.QUERIES["openers"](spark, SF).select(F.col("request_id").alias("o_custkey"), F.col("track_id").alias("l_partkey"))
+    assert best.count() == held.groupBy("o_custkey").count().selectExpr("sum(least(count, 15))").first()[0]
+    assert best.join(held, ["o_custkey", "l_partkey"], "left_anti").isEmpty()
