@@ -74,3 +74,23 @@ def test_openers_rank_what_the_sets_of_a_request_hold(spark):
     best = plans.QUERIES["openers"](spark, SF).select(F.col("request_id").alias("o_custkey"), F.col("track_id").alias("l_partkey"))
     assert best.count() == held.groupBy("o_custkey").count().selectExpr("sum(least(count, 15))").first()[0]
     assert best.join(held, ["o_custkey", "l_partkey"], "left_anti").isEmpty()
+
+
+def test_search_agrees_with_its_sql_where_a_stretched_blend_ends_on_a_point(spark, tmp_path):
+    import os
+
+    import duckdb
+
+    big = "/root/testdata/sf0.1"
+    for name in os.listdir(big):
+        if name != "lineitem.parquet":
+            os.symlink(f"{big}/{name}", tmp_path / name)
+    spark.read.parquet(f"{big}/lineitem.parquet").where("l_orderkey in (2928, 19018, 42364, 60456)").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    for name in ("part", "events"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("transition_search", "segment_pair_score", "edge_quality_best"):
+        d = plans.QUERIES[name](spark, str(tmp_path))
+        got = sorted(tuple(r) for r in d.collect())
+        assert got == sorted(con.execute(f"select {', '.join(d.columns)} from ({plans.ORACLES[name]})").fetchall()), name
