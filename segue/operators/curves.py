@@ -6,6 +6,8 @@ its length, never by the number of listeners or events behind it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,13 @@ def bar_grid(tracks: DataFrame, phase: Column | None = None) -> DataFrame:
     )
 
 
+def bar_times(bpm: Column, duration: Column, keep: Callable[[Column], Column] = lambda k: F.lit(True)) -> Column:
+    """``bar_t`` of ``bar_grid`` as one array, of the bars whose index ``keep`` accepts."""
+    step = 240 / bpm
+    inside = F.filter(F.sequence(F.lit(0).cast("bigint"), F.ceil(duration / step).cast("bigint")), lambda k: (k * step < duration) & keep(k))
+    return F.when((bpm > 0) & (duration > 0), F.transform(inside, lambda k: F.round(k * step, 4))).otherwise(F.array().cast("array<double>"))
+
+
 def curve_bars(curve: DataFrame, bar_len: int, duration: int) -> DataFrame:
     """Bars of ``bar_len`` time units over the whole span of every track in ``curve``."""
     n = duration // bar_len - 1

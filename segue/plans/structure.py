@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segue.functions import pair as P
@@ -454,26 +456,32 @@ _MP = """, b0 as (select track_id, bar_t from bars where bar_idx % 4 = 0), p as
 few as (select track_id from bars group by 1 having count(*) < 8)"""
 
 
+def _fractions(v: Column) -> Column:
+    return F.array(*[F.round(v["duration_sec"] * f, 4) for f in (0.25, 0.5, 0.75, 0.85)])
+
+
+def _points(t: Tables, times: Callable[[Column], Column], **facts: Column) -> DataFrame:
+    """Distinct points of each track. A track is gathered before it is spread, so only its features are shuffled, never its points."""
+    versions = t.tracks().groupBy("track_id").agg(F.collect_set(F.struct("bpm", "duration_sec")).alias("versions"))
+    points = F.array_distinct(F.flatten(F.transform("versions", times)))
+    return versions.withColumns(facts).select("track_id", F.explode(points).alias("point_t"))
+
+
 @query("musical_points", "tracks", f""", {BARS}{_MP}, fb as (select track_id, k * (960 / greatest(bpm, 60)) as bar_t from tracks, lateral (select unnest(range(0, cast(ceil(duration_sec / (960 / greatest(bpm, 60))) as bigint))) as k) where track_id in (select track_id from few))
 select distinct track_id, round(bar_t, 4) as point_t from (select * from b0 union all select * from p union all select * from x union all select * from fb)""")
 def musical_points(t: Tables) -> DataFrame:
-    tracks = t.tracks()
-    bars = C.bar_grid(tracks)
-    few = bars.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).where("n < 8")
-    fractions = tracks.select("track_id", F.explode(F.array(*[F.round(_c("duration_sec") * f, 4) for f in (0.25, 0.5, 0.75, 0.85)])).alias("point_t"))
-    step = 960 / F.greatest(_c("bpm"), F.lit(60.0))
-    grid = tracks.join(few, "track_id", "left_semi").select(
-        "track_id", F.explode(F.sequence(F.lit(0), F.ceil(_c("duration_sec") / step).cast("int") - 1)).alias("k"), step.alias("s")).select("track_id", (_c("k") * _c("s")).alias("point_t"))
-    marks = bars.where((_c("bar_idx") % 4 == 0) | (_c("bar_idx") % 16 == 3)).select("track_id", _c("bar_t").alias("point_t"))
-    return marks.unionByName(fractions).unionByName(grid).select("track_id", F.round("point_t", 4).alias("point_t")).distinct()
+    step = lambda v: 960 / F.greatest(v["bpm"], F.lit(60.0))
+    grid = lambda v: F.transform(F.filter(F.sequence(F.lit(0), F.ceil(v["duration_sec"] / step(v)).cast("int")), lambda k: k < F.ceil(v["duration_sec"] / step(v))), lambda k: F.round(k * step(v), 4))
+    marks = lambda v: C.bar_times(v["bpm"], v["duration_sec"], lambda k: (k % 4 == 0) | (k % 16 == 3))
+    n_bars = F.aggregate("versions", F.lit(0), lambda n, v: n + F.size(C.bar_times(v["bpm"], v["duration_sec"])))
+    few = n_bars.between(1, 7) & _c("track_id").isNotNull()
+    none = F.array().cast("array<double>")
+    return _points(t, lambda v: F.concat(marks(v), _fractions(v), F.when(_c("few"), grid(v)).otherwise(none)), few=few)
 
 
 @query("boundary_grid", "tracks", f", {BARS}{_MP} select distinct track_id, round(bar_t, 4) as point_t from (select track_id, bar_t from bars union all select * from x union all select track_id, 0 from tracks union all select track_id, duration_sec from tracks)")
 def boundary_grid(t: Tables) -> DataFrame:
-    tracks = t.tracks()
-    bars = C.bar_grid(tracks).select("track_id", _c("bar_t").alias("point_t"))
-    rest = tracks.select("track_id", F.explode(F.array(F.lit(0.0), _c("duration_sec"), *[F.round(_c("duration_sec") * f, 4) for f in (0.25, 0.5, 0.75, 0.85)])).alias("point_t"))
-    return bars.unionByName(rest).select("track_id", F.round("point_t", 4).alias("point_t")).distinct()
+    return _points(t, lambda v: F.concat(C.bar_times(v["bpm"], v["duration_sec"]), _fractions(v), F.array(F.lit(0.0), F.round(v["duration_sec"], 4))))
 
 
 # --- segments ---------------------------------------------------------------------------
