@@ -4,6 +4,7 @@ import math
 
 import pytest
 
+from segue.operators.tagging import tag
 from segue.plans import structure
 from segue.sources.tables import Tables
 
@@ -33,3 +34,11 @@ def test_points_are_spread_after_the_shuffle(spark, tmp_path, capsys, name):
         want |= {(i, round(x, 4)) for x in points}
     got = [(r.track_id, round(r.point_t, 4)) for r in df.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_equal_texts_are_tagged_once(spark, capsys):
+    rows = [(1, "Chill mix, no sad songs"), (2, "chill mix, no sad songs "), (3, None), (4, "")]
+    df = tag(spark.createDataFrame(rows, "request_id long, raw_text string"))
+    assert "Join" in plan(df, capsys)
+    got = {r.request_id: {k: v for k, v in r.asDict().items() if k != "request_id"} for r in df.collect()}
+    assert len(got) == 4 and got[1] == got[2] and got[3] == got[4] and got[1] != got[3]
