@@ -42,3 +42,24 @@ def test_equal_texts_are_tagged_once(spark, capsys):
     assert "Join" in plan(df, capsys)
     got = {r.request_id: {k: v for k, v in r.asDict().items() if k != "request_id"} for r in df.collect()}
     assert len(got) == 4 and got[1] == got[2] and got[3] == got[4] and got[1] != got[3]
+
+
+def test_many_mixes_share_a_state_row(spark, tmp_path, capsys):
+    from segue.streaming import feedback as live
+    from segue.streaming.violations import gap_stream
+
+    schema = "mix_id long, out_start long, out_end long, tie long, track_id long, src_start long, src_end long"
+    mixes = [(m, s, s + 10 + m % 3, 0, 1, 0, 1) for m in [*range(-400, 400), 2**60 + 1, 2**60] for s in (0, 10, 30)]
+    mixes += [(None, s, s + 10, 0, 1, 0, 1) for s in (0, 12)]
+    for k, starts in enumerate(((0, 10), (30, 12))):
+        spark.createDataFrame([r for r in mixes if r[1] in starts], schema).coalesce(2).write.parquet(str(tmp_path / "v" / f"{k}.parquet"))
+    stream = gap_stream(spark, live.read_stream(spark, str(tmp_path / "v" / "*.parquet"), "*.parquet", 2))
+    assert "bucket" in plan(stream, capsys)
+    want, ends = [], {}
+    for m, s, e, *_ in mixes:
+        end = ends.get(m, 0)
+        if s != end:
+            want.append((m, s, end, "output_gap" if s > end else "output_overlap"))
+        ends[m] = max(end, e)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted((tuple(r) for r in live.drain(stream, "t-many").collect()), key=key) == sorted(want, key=key)
