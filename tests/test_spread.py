@@ -63,3 +63,16 @@ def test_many_mixes_share_a_state_row(spark, tmp_path, capsys):
         ends[m] = max(end, e)
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted((tuple(r) for r in live.drain(stream, "t-many").collect()), key=key) == sorted(want, key=key)
+
+
+def test_shuffles_start_with_more_partitions_over_more_input(spark, tmp_path, monkeypatch):
+    from segue import session
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.range(5000).repartition(4).write.parquet(str(tmp_path / "part.parquet"))
+    session.spread(spark, str(tmp_path))
+    small = int(spark.conf.get(key))
+    monkeypatch.setattr(session, "PART_BYTES", 256)
+    session.spread(spark, str(tmp_path))
+    assert small == int(spark.conf.get("spark.sql.shuffle.partitions")) < int(spark.conf.get(key))
+    spark.conf.unset(key)
