@@ -151,16 +151,37 @@ def _block(a: DataFrame, b: DataFrame, folds: int, width: float) -> DataFrame:
     return left.join(right, ["b_w", "t", "e"])
 
 
+def _tight(a: DataFrame, b: DataFrame, reach: int, width: float, bright: bool) -> DataFrame:
+    """Pairs of sources with all parts known: tempo within 2 %, energy within one bin of ``width``, the same key or (``reach`` 1) an adjacent one.
+
+    With ``bright`` also brightness within a ratio of 0.85.
+    """
+    folds, step = 34, math.log(1 / 0.85) * (1 + 1e-9)
+    energy = lambda p: F.floor(F.greatest(F.col(f"{p}_mean_energy"), F.lit(0.0)) / width).cast("int")
+    light = lambda p: F.floor(F.log(F.col(f"{p}_spectral_centroid")) / step).cast("int") if bright else F.lit(0)
+    ring = lambda c, r=1: F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda i: c + i)
+    codes = F.transform(_near_codes(F.col("a_camelot")), P.key_position) if reach else F.array("a_w")
+    left = (
+        a.where(F.col("a_known") == (TEMPO | KEY | BRIGHT))
+        .withColumn("b_w", F.explode(codes)).withColumn("t", F.explode(_near_fold(_octave(F.col("a_bpm")), folds, 1)))
+        .withColumn("e", F.explode(ring(energy("a")))).withColumn("s", F.explode(ring(light("a"), int(bright))))
+    )
+    right = b.where((F.col("b_bpm") > 0) & (F.col("b_spectral_centroid") > 0 if bright else F.lit(True)))
+    return left.join(right.select("*", _fold(_octave(F.col("b_bpm")), folds).alias("t"), energy("b").alias("e"), light("b").alias("s")), ["b_w", "t", "e", "s"])
+
+
 def _plateau(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """Pairs for sources in dense cells, where the k best partners all score what is possible at best.
 
     A source ignores the parts it doesn't know, so a cell is taken by its known parts alone. Tracks of
-    one fine cell reach the best possible score with each other; a cell of at least k tracks therefore
-    proves that the best k ids are no greater than its k-th smallest id. Only ids up to that, in cells
-    close enough to reach that score, can matter: about k of them per neighbouring cell.
+    one fine cell and the cells next to it all but surely reach the best possible score with each other; where these hold more
+    than k tracks, the best k ids are hardly greater than their k-th smallest id. Only ids up to a little beyond that, in cells
+    close enough to reach that score, are read: a few dozen per cell, however many tracks it holds. A source that finds
+    less than k partners among them goes on to the next level, so the guess decides only the work.
     """
-    n_t, w_e, w_s = 70, 0.05, math.log(1 / 0.85) / 2
-    keys = ["m", "cw", "ct", "ce", "cs"]
+    n_t, w_e, w_s, many = 68, 0.05, math.log(1 / 0.85) / 2 * (1 + 1e-9), 4
+    cell = ["m", "cw", "ct", "ce", "cs"]
+    area = ["m", "cw", "gt", "ge", "gs"]
 
     def cells(df: DataFrame, p: str, m: Column) -> DataFrame:
         c = lambda n: F.col(f"{p}_{n}")
@@ -170,21 +191,34 @@ def _plateau(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
             "ce": F.floor(c("mean_energy") / w_e).cast("int"),
             "cs": F.when(_has(F.col("m") if p == "b" else m, BRIGHT), F.floor(F.log(c("spectral_centroid")) / w_s).cast("int")).otherwise(-99)})
 
+    def around(r: int, coarse: int = 1) -> tuple[Column, Column, Column]:
+        """Cells (or areas of ``coarse`` cells a side) at most ``r`` cells away by tempo, energy and brightness."""
+        near = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(-r), F.lit(r)), c))
+        whole = lambda x: F.floor(x / coarse).cast("int")
+        return (F.when(F.col("ct") < 0, F.array(F.lit(-1))).otherwise(near(lambda i: whole((F.col("ct") + i + n_t) % n_t))), near(lambda i: whole(F.col("ce") + i)),
+                F.when(F.col("cs") == -99, F.array(F.lit(-99))).otherwise(near(lambda i: whole(F.col("cs") + i))))
+
+    def expand(df: DataFrame, names: list[str], lists: tuple[Column, ...]) -> DataFrame:
+        df = df.withColumns({f"_{n}": x for n, x in zip(names, lists)})
+        for n in names:
+            df = df.withColumn(n, F.explode(f"_{n}")).drop(f"_{n}")
+        return df
+
     home = cells(a, "a", F.col("a_known"))
     modes = home.select("m").distinct()
     offered = b.withColumn("m", F.explode(F.array(*map(F.lit, range(8))))).where(F.col("b_known").bitwiseAND(F.col("m")) == F.col("m"))
     offered = cells(offered.join(modes, "m", "left_semi"), "b", F.col("m"))
-    first = offered.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("dst"))).where(F.col("rn") <= k)
-    bounds = first.groupBy(*keys).agg(F.max("dst").alias("bound"), F.count(F.lit(1)).alias("c")).where(F.col("c") == k)
-    around = lambda c, r: F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda i: F.col(c) + i)
-    ring = F.array_distinct(F.transform(around("ct", 3), lambda v: (v % n_t + n_t) % n_t))
-    reach = (
-        bounds.select(*[F.col(c).alias(f"home_{c}") for c in keys], "bound", "m", "cw", F.explode(F.when(F.col("ct") < 0, F.array("ct")).otherwise(ring)).alias("ct"), "ce", "cs")
-        .withColumn("ce", F.explode(around("ce", 2)))
-        .withColumn("cs", F.explode(F.when(F.col("cs") == -99, F.array("cs")).otherwise(around("cs", 3))))
-    )
-    candidates = reach.join(offered, keys).where(F.col("dst") <= F.col("bound")).select(*[F.col(f"home_{c}").alias(c) for c in keys], *b.columns)
-    return home.join(candidates, keys).select(*a.columns, *b.columns)
+    first = offered.withColumn("rn", F.row_number().over(Window.partitionBy(*cell).orderBy("dst"))).where(F.col("rn") <= k + 2).select(*cell, "dst")
+    lists = expand(first, ["ct", "ce", "cs"], around(1)).groupBy(*cell).agg(F.array_sort(F.collect_list("dst")).alias("ids")).where(F.size("ids") >= k)
+    bounds = home.select(*cell).distinct().join(lists.select(*cell, F.element_at("ids", F.least(F.lit(k + 2), F.size("ids"))).alias("bound")), cell)
+    wide = expand(bounds, ["gt", "ge", "gs"], around(2, many)).select(*area, "bound", *[F.col(c).alias(f"home_{c}") for c in cell[2:]])
+    part = lambda c, none: F.when(F.col(c) == none, F.lit(none)).otherwise(F.floor(F.col(c) / many).cast("int"))
+    offered = offered.withColumns({"gt": part("ct", -1), "ge": F.floor(F.col("ce") / many).cast("int"), "gs": part("cs", -99)})
+    turn = F.abs(F.col("home_ct") - F.col("ct"))
+    close = (F.least(turn, n_t - turn) <= 2) & (F.abs(F.col("home_ce") - F.col("ce")) <= 2) & (F.abs(F.col("home_cs") - F.col("cs")) <= 2)
+    candidates = wide.join(offered, area).where((F.col("dst") <= F.col("bound")) & close)
+    candidates = candidates.select("m", "cw", *[F.col(f"home_{c}").alias(c) for c in cell[2:]], *b.columns)
+    return home.join(candidates, cell).select(*a.columns, *b.columns)
 
 
 def _coarse(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
@@ -232,13 +266,19 @@ def pair_topk(tracks: DataFrame, k: int = 5) -> DataFrame:
     cols = [*FEATURES, "w", "known"]
     a = kinds.select("src", *[F.col(c).alias(f"a_{c}") for c in cols]).withColumn("a_top", _best_possible(F.col("a_known")))
     b = first.select(F.col("track_id").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    # Outside the tight block tempo loses 0.04, outside the next one key loses 0.09.
-    levels = [(lambda s: _plateau(s, b, need), 0.001), (lambda s: _block(s, b, 11, 0.2), 0.04), (lambda s: _block(s, b, 8, 0.3), 0.09)]
+    partial = F.col("a_known") < (TEMPO | KEY | BRIGHT)
+    pick = [*a.columns, *b.columns]
+    # Outside the first block brightness loses 0.02, outside the second tempo 0.04, outside the last one key 0.09 (tempo 0.098).
+    levels = [
+        (lambda s: _plateau(s, b, need), 0.001), (lambda s: _tight(s, b, 0, 0.1, True), 0.02),
+        (lambda s: _tight(s, b, 1, 0.2, False).select(pick).unionByName(_block(s.where(partial), b, 11, 0.2).select(pick)), 0.04),
+        (lambda s: _block(s, b, 11, 0.3), 0.09),
+    ]
     done: list[DataFrame] = []
     rest = a
     for block, lost in levels:
         # Only scores above the bound can settle a source, so the rest is dropped before ranking.
-        ranked = cut_lineage(_rank(_score(block(rest)).where(F.col("overall") > snap(F.col("a_top")) - lost), need))
+        ranked = cut_lineage(_rank(_score(block(rest)).where(F.col("overall") > snap(F.col("a_top")) - lost + 0.0005), need))
         settled = ranked.groupBy("src").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == need).select("src")
         done.append(ranked.join(settled, "src", "left_semi"))
         rest = cut_lineage(rest.join(settled, "src", "left_anti"))
