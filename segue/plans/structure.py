@@ -460,7 +460,7 @@ def _fractions(v: Column) -> Column:
     return F.array(*[F.round(v["duration_sec"] * f, 4) for f in (0.25, 0.5, 0.75, 0.85)])
 
 
-def _points(t: Tables, times: Callable[[Column], Column], **facts: Column) -> DataFrame:
+def _track_points(t: Tables, times: Callable[[Column], Column], **facts: Column) -> DataFrame:
     """Distinct points of each track. A track is gathered before it is spread, so only its features are shuffled, never its points."""
     versions = t.tracks().groupBy("track_id").agg(F.collect_set(F.struct("bpm", "duration_sec")).alias("versions"))
     points = F.array_distinct(F.flatten(F.transform("versions", times)))
@@ -476,12 +476,12 @@ def musical_points(t: Tables) -> DataFrame:
     n_bars = F.aggregate("versions", F.lit(0), lambda n, v: n + F.size(C.bar_times(v["bpm"], v["duration_sec"])))
     few = n_bars.between(1, 7) & _c("track_id").isNotNull()
     none = F.array().cast("array<double>")
-    return _points(t, lambda v: F.concat(marks(v), _fractions(v), F.when(_c("few"), grid(v)).otherwise(none)), few=few)
+    return _track_points(t, lambda v: F.concat(marks(v), _fractions(v), F.when(_c("few"), grid(v)).otherwise(none)), few=few)
 
 
 @query("boundary_grid", "tracks", f", {BARS}{_MP} select distinct track_id, round(bar_t, 4) as point_t from (select track_id, bar_t from bars union all select * from x union all select track_id, 0 from tracks union all select track_id, duration_sec from tracks)")
 def boundary_grid(t: Tables) -> DataFrame:
-    return _points(t, lambda v: F.concat(C.bar_times(v["bpm"], v["duration_sec"]), _fractions(v), F.array(F.lit(0.0), F.round(v["duration_sec"], 4))))
+    return _track_points(t, lambda v: F.concat(C.bar_times(v["bpm"], v["duration_sec"]), _fractions(v), F.array(F.lit(0.0), F.round(v["duration_sec"], 4))))
 
 
 # --- segments ---------------------------------------------------------------------------
