@@ -62,16 +62,21 @@ def _fingerprints(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def printed(column: pa.Array) -> Iterator[np.ndarray]:
+    """Signed fingerprints of the texts of a column, some texts at a time."""
+    data, off = text_bytes(column)
+    raw = data.tobytes()
+    for i, j in chunks(off):
+        yield _fingerprints([raw[off[k] : off[k + 1]] for k in range(i, j)]).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): SimHash of each text as a signed 64-bit integer. A null text is empty; empty texts have zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = text_bytes(batch.column(1))
-            raw, got = data.tobytes(), [np.empty(0, np.uint64)]
-            for i, j in chunks(off):
-                got.append(_fingerprints([raw[off[k] : off[k + 1]] for k in range(i, j)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got).view(np.int64))], ["id", "fp"])
+            got = [np.empty(0, np.int64), *printed(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got))], ["id", "fp"])
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, T.StructType([T.StructField("id", kept.schema[0].dataType), T.StructField("fp", T.LongType())]))
